@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from docketry.llm.secrets import BASE, RULES, Rule
+
 #: Words of a lower-cased text for contamination; ids of one row's text positions from 1.
 OP4 = r"""
 with d as (
@@ -62,6 +64,50 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 from f
 """
 
+OP8 = r"""
+with l as (
+  select doc_id, i, lines[i] as x, lead(lines[i], 1) over w as y, lead(lines[i], 2) over w as z
+  from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from (select doc_id, string_split(text, chr(10)) as lines from documents))
+  window w as (partition by doc_id order by i)),
+s as (
+  select doc_id, i, row_number() over (partition by x, y, z order by doc_id, i) as copy from l where z is not null),
+gone as (select distinct doc_id, unnest(range(i, i + 3)) as i from s where copy > 1),
+runs as (
+  select doc_id, count(*) as n_removed, count(*) filter (fresh) as n_runs
+  from (select doc_id, i - coalesce(lag(i) over (partition by doc_id order by i), -9) > 1 as fresh from gone) group by doc_id),
+kept as (
+  select doc_id, string_agg(x, chr(10) order by i) as t from (select doc_id, i, x from l) anti join gone using (doc_id, i) group by doc_id)
+select d.doc_id, cast(coalesce(len(string_split(text, chr(10))), 0) as bigint) as n_lines, coalesce(n_removed, 0) as n_removed,
+       coalesce(n_runs, 0) as n_runs, sha256(coalesce(t, '')) as kept_sha256
+from documents d left join runs using (doc_id) left join kept using (doc_id)
+"""
+
+
+def _kind(number: int, rule: Rule) -> str:
+    p = rule.pattern.replace("'", "''")
+    return f"""
+  select r, {number} as k, '{rule.kind}' as kind, upto - length(m) as s, upto as e from (
+    select r, m, g, sum(length(gap) + coalesce(length(m), 0)) over (partition by r order by i) as upto from (
+      select r, i, gaps[i] as gap, ms[i] as m, gs[i] as g from (
+        select r, string_split_regex(t, '{p}') as gaps, regexp_extract_all(t, '{p}') as ms, regexp_extract_all(t, '{p}', {rule.group}) as gs,
+               unnest(range(1, len(gaps) + 1)) as i
+        from d where regexp_matches(t, '{p}'))))
+  where m is not null and length(g) >= {rule.least}"""
+
+
+OP2 = f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+f as ({" union all ".join(_kind(i, rule) for i, rule in enumerate(RULES))}),
+a as (
+  select r, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' order by s, k) filter (k < {BASE}) as base,
+         string_agg(kind || ':' || s || ':' || e, ',' order by s, k) as spans
+  from (select r, k, kind, cast(s as bigint) as s, cast(e as bigint) as e from f) group by r)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join a using (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4, "op10_quality": OP10}
+    return {"op2_secrets": OP2, "op4_decontamination": OP4, "op8_line_dedup": OP8, "op10_quality": OP10}

@@ -17,6 +17,7 @@ from docketry.llm.quality import apply_policy, ledger
 from docketry.llm.secrets import digest, find_secrets
 from docketry.llm.sharding import assign_shards
 from docketry.llm.simhash import near_duplicates
+from docketry.llm.substrings import dedup_substrings
 
 SHARDS = 40
 
@@ -62,6 +63,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("whole.doc_id", "n_lines", "n_removed", "n_runs", sha)
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = apply_policy(ledger(table(spark, sf_dir, "documents")), "v2")
     base = rated["fail_bits"].bitwiseAND(3) != 0

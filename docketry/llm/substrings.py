@@ -7,8 +7,8 @@ can't hold a repeated string and drop out; those left keep their bytes, and equa
 as one. Sampled splitters then range-partition the segments by leading token. Each bucket
 sorts the suffixes of its segments by a multikey quicksort over wide characters (two 8-byte words,
 then block hashes), all levels vectorised, groups of one dropped at each level. A leading token
-at the edge of a bucket, or with more segments than a piece holds, is compared across the
-boundary: its windows are named by 128-bit hashes and counted by Spark.
+with more windows than one piece holds is dealt out to several buckets and compared across their
+boundaries: its windows are named by 128-bit hashes and counted by Spark.
 
 Texts are read in blocks and segments are of bounded size, so no text or leading token has to fit in
 memory as a whole, and copies in any number meet only as counts.
@@ -176,7 +176,7 @@ def _compare(classes: DataFrame, length: int) -> DataFrame:
     """d1, d2, from, to: starts of a segment that are repeated; or with w1, w2 a window yet to be compared."""
 
     def piece(rows: list[tuple], crossing: list[bool]) -> Iterator[pa.RecordBatch]:
-        """rows: (lead, d1, d2, copies, body); crossing: whether the leading token may have more of them elsewhere."""
+        """rows: (lead, d1, d2, copies, body, large); crossing: whether the leading token has more of them elsewhere."""
         data = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8)
         offset = np.cumsum([0, *(len(r[4]) for r in rows)])
         count = np.array([len(r[4]) - length + 1 for r in rows])
@@ -206,20 +206,24 @@ def _compare(classes: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, edge, cut_lead = 0, None, None  # edge: the bucket's first leading token; cut_lead: one already begun in an earlier piece
+        size = 0
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("lead", "d1", "d2", "copies", "body")), strict=True):
-                edge = row[0] if edge is None else edge
-                if size >= PIECE and (held[-1][0] != row[0] or size >= 2 * PIECE):
-                    open_lead = row[0] if held[-1][0] == row[0] else None
-                    yield from piece(held, [r[0] in (edge, cut_lead, open_lead) for r in held])
-                    held, size, cut_lead = [], 0, open_lead
+            for row in zip(*(b.column(c).to_pylist() for c in ("lead", "d1", "d2", "copies", "body", "large")), strict=True):
+                if size >= PIECE and (held[-1][0] != row[0] or row[5]):
+                    yield from piece(held, [r[5] for r in held])
+                    held, size = [], 0
                 held.append(row)
                 size += len(row[4]) - length + 1
         if held:
-            yield from piece(held, [r[0] in (edge, cut_lead, held[-1][0]) for r in held])
-
-    dealt = classes.repartitionByRange("lead", "d1").sortWithinPartitions("lead", "d1", "d2")
+            yield from piece(held, [r[5] for r in held])
+
+    windows = F.sum(F.length("body") - length + 1)
+    large = classes.groupBy("lead").agg(windows.alias("windows")).where(F.col("windows") > PIECE).select("lead", F.lit(True).alias("large"))
+    marked = classes.join(large, "lead", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    # a large leading token is dealt out by the rest of its segments too; any other lies in one bucket
+    marked = marked.withColumn("further", F.when(F.col("large"), F.col("d1")).otherwise(F.lit(0)))
+    dealt = marked.repartitionByRange("lead", "further").sortWithinPartitions("lead", "d1", "d2")
+    dealt = dealt.select("lead", "d1", "d2", "copies", "body", "large")
     return dealt.mapInArrow(run, "d1 long, d2 long, from int, to int, w1 long, w2 long")
 
 
@@ -228,7 +232,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     places = _places(docs, length)
     leads = places.groupBy("lead").agg(F.sum("times").alias("all")).where("all > 1").select("lead")
     bodies = cut(_bodies(docs, places.join(leads, "lead"), length))
-    classes = bodies.groupBy("lead", "d1", "d2").agg(F.count("*").alias("copies"), F.first("body").alias("body"))
+    classes = bodies.groupBy("lead", "d1", "d2").agg(F.count("*").alias("copies"), F.max("body").alias("body"))
     found = cut(_compare(classes, length))
     across = found.where("w1 is not null")
     twice = across.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")

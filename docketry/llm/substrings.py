@@ -51,18 +51,24 @@ class Rolling:
                 p[0] = 1
                 setattr(self, name, np.cumprod(p))
 
-    def grams(self, data: np.ndarray, size: int) -> np.ndarray:
-        n = len(data) - size + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.uint64)
+    def sums(self, data: np.ndarray) -> np.ndarray:
         self._powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.value[data] * self.up[: len(data)], out=sums[1:])
-        h = (sums[size:] - sums[:-size]) * self.down[:n]
+        out = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self.value[data] * self.up[: len(data)], out=out[1:])
+        return out
+
+    def spans(self, sums: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+        h = (sums[end] - sums[start]) * self.down[: len(sums)][start]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         return h ^ (h >> np.uint64(32))
 
+    def grams(self, data: np.ndarray, size: int, sums: np.ndarray | None = None) -> np.ndarray:
+        n = len(data) - size + 1
+        if n <= 0:
+            return np.zeros(0, dtype=np.uint64)
+        return self.spans(self.sums(data) if sums is None else sums, slice(0, n), slice(size, size + n))
+
 
 ONE, TWO = Rolling(1), Rolling(2)
 
@@ -79,10 +85,12 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(text: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """Of each segment: leading token, first start, number of starts, and 2 if it may repeat itself, else 1."""
+    """Of each segment: leading token, hash of its bytes, first start, number of starts, and 2 if it may repeat itself, else 1."""
     data, out, width = np.frombuffer(text, dtype=np.uint8), [], length - GRAM + 1
     for at in range(0, len(data) - length + 1, BLOCK):
-        grams = ONE.grams(data[at : at + BLOCK + length - 1], GRAM)
+        part = data[at : at + BLOCK + length - 1]
+        sums = ONE.sums(part)
+        grams = ONE.grams(part, GRAM, sums)
         lead = sliding_min(grams, width)
         edge = np.concatenate([[0], np.nonzero(lead[1:] != lead[:-1])[0] + 1, [len(lead)]])
         size = np.diff(edge)
@@ -95,9 +103,9 @@ def segments(text: bytes, length: int) -> tuple[np.ndarray, ...]:
         led = led[np.lexsort((led, grams[led]))]
         near = (grams[led[1:]] == grams[led[:-1]]) & (led[1:] - led[:-1] < SEGMENT)
         times = 1 + np.isin(lead[edge[:-1]], grams[led[1:][near]]) if near.any() else np.ones(len(size))
-        out.append((lead[edge[:-1]], edge[:-1] + at, size, times))
+        out.append((lead[edge[:-1]], ONE.spans(sums, edge[:-1], edge[1:] + length - 1), edge[:-1] + at, size, times))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (*[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 3)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -128,118 +136,121 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.nonzero(edge == 1)[0].tolist(), np.nonzero(edge == -1)[0].tolist(), strict=True))
 
 
+SEGMENT_OF = ["lead", "body_hash", "n"]
+
+
 def _places(docs: DataFrame, length: int) -> DataFrame:
-    """lead, key, start, n, times of every segment of every row."""
+    """lead, body_hash, key, start, n, times of every segment of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held, size = [], 0
             for i, text in enumerate(b.column("text")):
-                lead, start, n, times = segments(text.as_py().encode(), length)
-                held.append((np.full(len(lead), i), lead, start, n.astype(np.int32), times.astype(np.int32)))
+                lead, body, start, n, times = segments(text.as_py().encode(), length)
+                held.append((np.full(len(lead), i), lead.view(np.int64), body.view(np.int64), start, n.astype(np.int32), times.astype(np.int32)))
                 size += len(lead)
                 if size > 50_000 or i == b.num_rows - 1:
-                    row, lead, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+                    row, lead, body, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
                     held, size = [], 0
                     keys = [b.column(k).take(pa.array(row)) for k in KEY]
-                    yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64)), *keys, *map(pa.array, rest)], ["lead", *KEY, "start", "n", "times"])
+                    yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(body), *keys, *map(pa.array, rest)], ["lead", "body_hash", *KEY, "start", "n", "times"])
 
     rows = docs.select(*row_key(), text_of().alias("text")).where(F.octet_length("text") >= length)
-    return rows.mapInArrow(run, "lead long, key_id long, key_text long, start long, n int, times int")
+    return rows.mapInArrow(run, "lead long, body_hash long, key_id long, key_text long, start long, n int, times int")
 
 
-def _bodies(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """lead, key, start and the bytes of the segments to compare; one for each row that holds them."""
-    wanted = shared.groupBy(*KEY).agg(F.collect_set(F.struct("lead", "start", "n")).alias("segments"))
-    rows = docs.select(*row_key(), text_of().alias("text")).join(wanted, KEY)
+def _bodies(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
+    """lead, body_hash, n, copies, large and the bytes of each class of equal segments, from one row that holds it."""
+    wanted = classes.groupBy("at.key_id", "at.key_text").agg(F.collect_set(F.struct(*SEGMENT_OF, "copies", "large", "at.start")).alias("segments"))
+    rows = docs.select(*row_key(), text_of().alias("text")).join(wanted, KEY).select("text", "segments")
+    names = [*SEGMENT_OF, "copies", "large", "body"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lead", *KEY, "start", "body"]
+        make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for b in batches:
-            out: list[list] = [[] for _ in names]
-            for key_id, key_text, text, segs in zip(*(b.column(c) for c in (*KEY, "text", "segments")), strict=True):
+            out: list[tuple] = []
+            for text, segs in zip(b.column("text"), b.column("segments"), strict=True):
                 data = text.as_py().encode()
-                for s in segs.as_py():
-                    values = (s["lead"], key_id.as_py(), key_text.as_py(), s["start"], data[s["start"] : s["start"] + s["n"] + length - 1])
-                    for column, v in zip(out, values, strict=True):
-                        column.append(v)
-                if len(out[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], names)
-                    out = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], names)
-
-    found = rows.mapInArrow(run, "lead long, key_id long, key_text long, start long, body binary")
-    return found.withColumn("d1", F.xxhash64("body")).withColumn("d2", F.xxhash64(F.lit(1), "body"))
-
-
-def _compare(classes: DataFrame, length: int) -> DataFrame:
-    """d1, d2, from, to: starts of a segment that are repeated; or with w1, w2 a window yet to be compared."""
-
-    def piece(rows: list[tuple], crossing: list[bool]) -> Iterator[pa.RecordBatch]:
-        """rows: (lead, d1, d2, copies, body, large); crossing: whether the leading token has more of them elsewhere."""
-        data = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8)
-        offset = np.cumsum([0, *(len(r[4]) for r in rows)])
-        count = np.array([len(r[4]) - length + 1 for r in rows])
+                out += [(*(s[c] for c in names[:-1]), data[s["start"] : s["start"] + s["n"] + length - 1]) for s in segs.as_py()]
+                if len(out) > 20_000:
+                    yield make(out)
+                    out = []
+            if out:
+                yield make(out)
+
+    return rows.mapInArrow(run, "lead long, body_hash long, n int, copies long, large boolean, body binary")
+
+
+def _compare(bodies: DataFrame, length: int) -> DataFrame:
+    """SEGMENT_OF, from, to: starts of a segment that are repeated; or with w1, w2 a window yet to be compared."""
+
+    def piece(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """rows: SEGMENT_OF, copies, large, body; of a large leading token there may be more elsewhere."""
+        data = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint8)
+        offset = np.cumsum([0, *(len(r[5]) for r in rows)])
+        count = np.array([r[2] for r in rows])
+        first = np.cumsum(count) - count
         owner = np.repeat(np.arange(len(rows)), count)
-        rel = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        rel = np.arange(len(owner)) - first[owner]
         starts = offset[owner] + rel
-        lead = np.array([r[0] for r in rows])
-        same = repeated(data, starts, np.unique(lead, return_inverse=True)[1][owner], length)
+        same = repeated(data, starts, np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1][owner], length)
         flags = np.zeros(len(starts), dtype=bool)
         flags[same] = True
         flags |= np.array([r[3] > 1 for r in rows])[owner]
-        first = np.cumsum(count) - count
-        out = [(rows[i][1], rows[i][2], a, b, None, None) for i in range(len(rows)) for a, b in _spans(flags[first[i] : first[i] + count[i]])]
-        if any(crossing):
-            far = np.nonzero(np.array(crossing)[owner])[0]
+        once = (i for i, r in enumerate(rows) if r[3] == 1)  # of the others all starts are known to be repeated
+        out = [(*rows[i][:3], a, b, None, None) for i in once for a, b in _spans(flags[first[i] : first[i] + count[i]])]
+        far = np.nonzero(np.array([r[4] for r in rows])[owner])[0]
+        if len(far):
             one, two = ONE.grams(data, length)[starts[far]], TWO.grams(data, length)[starts[far]]
             # one of the windows that are alike here stands for them all, if all are settled
             _, pick = np.unique(np.stack([one, two]), axis=1, return_index=True)
             pick = np.union1d(pick, np.nonzero(~flags[far])[0])
-            out += [
-                (rows[o][1], rows[o][2], r, r + 1, x, y)
-                for o, r, x, y in zip(owner[far[pick]].tolist(), rel[far[pick]].tolist(), one[pick].view(np.int64).tolist(), two[pick].view(np.int64).tolist(), strict=True)
-            ]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        columns = zip(*out, strict=True) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["d1", "d2", "from", "to", "w1", "w2"])
+            columns = (x[far[pick]].tolist() for x in (owner, rel)), (x[pick].view(np.int64).tolist() for x in (one, two))
+            out += [(*rows[o][:3], r, r + 1, x, y) for o, r, x, y in zip(*columns[0], *columns[1], strict=True)]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        columns = zip(*out, strict=True) if out else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [*SEGMENT_OF, "from", "to", "w1", "w2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("lead", "d1", "d2", "copies", "body", "large")), strict=True):
-                if size >= PIECE and (held[-1][0] != row[0] or row[5]):
-                    yield from piece(held, [r[5] for r in held])
+            for row in zip(*(b.column(c).to_pylist() for c in (*SEGMENT_OF, "copies", "large", "body")), strict=True):
+                if size >= PIECE and (held[-1][0] != row[0] or row[4]):
+                    yield from piece(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4]) - length + 1
+                size += row[2]
         if held:
-            yield from piece(held, [r[5] for r in held])
+            yield from piece(held)
 
-    windows = F.sum(F.length("body") - length + 1)
-    large = classes.groupBy("lead").agg(windows.alias("windows")).where(F.col("windows") > PIECE).select("lead", F.lit(True).alias("large"))
-    marked = classes.join(large, "lead", "left").withColumn("large", F.coalesce("large", F.lit(False)))
     # a large leading token is dealt out by the rest of its segments too; any other lies in one bucket
-    marked = marked.withColumn("further", F.when(F.col("large"), F.col("d1")).otherwise(F.lit(0)))
-    dealt = marked.repartitionByRange("lead", "further").sortWithinPartitions("lead", "d1", "d2")
-    dealt = dealt.select("lead", "d1", "d2", "copies", "body", "large")
-    return dealt.mapInArrow(run, "d1 long, d2 long, from int, to int, w1 long, w2 long")
+    dealt = bodies.withColumn("further", F.when(F.col("large"), F.col("body_hash")).otherwise(F.lit(0)))
+    dealt = dealt.repartitionByRange("lead", "further").sortWithinPartitions("lead", "body_hash").drop("further")
+    return dealt.mapInArrow(run, "lead long, body_hash long, n int, from int, to int, w1 long, w2 long")
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """key_id, key_text, spans: (start, end) byte ranges of windows that start elsewhere too; may overlap."""
     places = _places(docs, length)
     leads = places.groupBy("lead").agg(F.sum("times").alias("all")).where("all > 1").select("lead")
-    bodies = cut(_bodies(docs, places.join(leads, "lead"), length))
-    classes = bodies.groupBy("lead", "d1", "d2").agg(F.count("*").alias("copies"), F.max("body").alias("body"))
-    found = cut(_compare(classes, length))
+    shared = cut(places.join(leads, "lead"))
+    classes = shared.groupBy(*SEGMENT_OF).agg(F.count("*").alias("copies"), F.max("times").alias("times"), F.min(F.struct(*KEY, "start")).alias("at"))
+    sizes = classes.groupBy("lead").agg(F.count("*").alias("bodies"), F.sum("n").alias("windows"))
+    classes = cut(classes.join(sizes, "lead").withColumn("large", F.col("windows") > PIECE))
+    open_ones = classes.where("bodies > 1 or (times > 1 and copies = 1)")
+    found = cut(_compare(_bodies(docs, open_ones, length), length))
     across = found.where("w1 is not null")
-    twice = across.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    settled = found.where("w1 is null").select("d1", "d2", "from", "to").union(across.join(twice, ["w1", "w2"]).select("d1", "d2", "from", "to"))
+    twice = across.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
+    ranges = [
+        classes.where("copies > 1").select(*SEGMENT_OF, F.lit(0).alias("from"), F.col("n").alias("to")),
+        found.where("w1 is null").select(*SEGMENT_OF, "from", "to"),
+        across.join(twice, ["w1", "w2"]).select(*SEGMENT_OF, "from", "to"),
+    ]
     # a span of starts [from, to) covers bytes from its first to the end of its last window
-    ranges = settled.groupBy("d1", "d2").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
-    spans = bodies.select(*KEY, "start", "d1", "d2").join(ranges, ["d1", "d2"]).select(*KEY, "start", F.explode("ranges").alias("r"))
+    settled = ranges[0].union(ranges[1]).union(ranges[2]).groupBy(*SEGMENT_OF).agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
+    spans = shared.join(settled, SEGMENT_OF).select(*KEY, "start", F.explode("ranges").alias("r"))
     span = F.struct((F.col("start") + F.col("r.from")).alias("start"), (F.col("start") + F.col("r.to") + length - 1).alias("end"))
     return spans.groupBy(*KEY).agg(F.collect_set(span).alias("spans"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import matches, stable_id, tokens
-from docketry.operators import corpus, retrieval, review
+from docketry.operators import compare, corpus, retrieval, review
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -349,6 +349,34 @@ def rule_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("id", F.coalesce("w", "weight").alias("weight"), F.col("w").isNotNull().alias("edited"))
 
 
+@query()
+def turn_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line changes between each turn of a conversation and the next of the same role."""
+    turns = table(spark, sf_dir, "conversations")
+    order = Window.partitionBy("conv_id", "role").orderBy("turn")
+    pairs = turns.withColumn("before", F.lag("text").over(order)).where("before is not null")
+    return compare.unit_changes(pairs.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("pair_id"), "before", F.col("text").alias("after")))
+
+
+@query(
+    """with i as (select doc_id as item_id, 'r' || (doc_id % 3) as rule_id, case when quality = 1 then 'PASS' else 'WARN' end as status, doc_id % 10 / 10.0 as confidence from labels)
+select item_id, rule_id, case when n_chars is null then 'REFUSED' when confidence < 0.5 then 'UNKNOWN' else status end as gated
+from i left join (select doc_id as item_id, n_chars from documents where n_chars > 500) using (item_id)"""
+)
+def model_item_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as model items that cite their document; only longer documents are allowed as evidence."""
+    rule = F.concat(F.lit("r"), (F.col("doc_id") % 3).cast("string")).alias("rule_id")
+    items = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("item_id"),
+        rule,
+        F.when(F.col("quality") == 1, "PASS").otherwise("WARN").alias("status"),
+        F.array("doc_id").alias("evidence_ids"),
+        (F.col("doc_id") % 10 / 10.0).alias("confidence"),
+    )
+    allowed = table(spark, sf_dir, "documents").where("n_chars > 500").select(rule, F.col("doc_id").alias("evidence_id"))
+    return compare.gate_items(items, allowed).select("item_id", "rule_id", "gated")
+
+
 # ---- events ------------------------------------------------------------------------------------
 
 BOUNDS = (0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0)

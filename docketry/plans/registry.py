@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.text import matches, stable_id, tokens
+from docketry.functions.text import matches, tokens
 from docketry.operators import compare, corpus, retrieval, review
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -437,4 +437,3 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessed_candidates(spark, sf_dir)
 
 
-__all__ = ["ORACLE", "QUERIES", "flagship", "stable_id"]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import stable_id, tokens
@@ -73,3 +74,82 @@ def assess(hits: DataFrame, docs: DataFrame, anchors: DataFrame) -> DataFrame:
         F.size(met).cast("long").alias("n_matched"),
         F.when(F.size(met) > 0, "ACCEPT").otherwise("INSUFFICIENT").alias("outcome"),
     )
+
+
+def within(chunks: DataFrame, limits: dict[str, Sequence[object]], overlap: dict[str, Sequence[object]] | None = None, subset: dict[str, Sequence[object]] | None = None) -> DataFrame:
+    """Chunks that meet every whitelist; an empty one doesn't limit. `overlap` and `subset` limit array columns."""
+    for name, allowed in limits.items():
+        if allowed:
+            chunks = chunks.where(F.col(name).isin(*allowed))
+    for name, allowed in (overlap or {}).items():
+        if allowed:
+            chunks = chunks.where(F.arrays_overlap(F.col(name), F.array(*map(F.lit, allowed))))
+    for name, allowed in (subset or {}).items():
+        if allowed:
+            chunks = chunks.where(F.size(F.array_except(F.col(name), F.array(*map(F.lit, allowed)))) == 0)
+    return chunks
+
+
+def pool_size(k: int) -> int:
+    """Hits that are re-ranked for the best k: three times as many, 50 at most, k at least."""
+    return max(k, min(3 * k, 50))
+
+
+def share_found(anchors: Column, content: Column) -> Column:
+    """Share of the anchors' letters that the content holds; NULL without anchors."""
+    letters = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
+    return F.when(F.size(anchors) > 0, letters(F.filter(anchors, lambda a: F.contains(content, a))) / letters(anchors))
+
+
+def nearness(anchors: Column, content: Column, window: int = 80) -> Column:
+    """1 - gap / window for the two anchors whose first places lie closest; NULL with fewer than two places."""
+    at = F.array_sort(F.array_distinct(F.filter(F.transform(anchors, lambda a: F.instr(content, a)), lambda p: p > 0)))
+    gaps = F.zip_with(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), lambda b, a: b - a)
+    return F.when(F.size(at) >= 2, F.greatest(F.lit(0.0), 1.0 - F.array_min(gaps) / F.lit(float(window))))
+
+
+def rerank(hits: DataFrame, docs: DataFrame, anchors: DataFrame, rank: str, k: int) -> DataFrame:
+    """query_id, doc_id, rerank_score, rerank_rank of the best k.
+
+    anchors: query_id and the arrays exact, required, numeric, negation, near. The score is the mean of the
+    features that are present, weighted .20 rank, .25 exact, .30 required, .15 constraints, .10 nearness.
+    """
+    n = F.count("*").over(Window.partitionBy("query_id"))
+    ranked = hits.select("query_id", "doc_id", rank, n.alias("n"))
+    c = ranked.join(docs.select("doc_id", F.lower("text").alias("content")), "doc_id").join(anchors, "query_id")
+    found = lambda name: share_found(F.col(name), F.col("content"))
+    numeric, negation = found("numeric"), found("negation")
+    features = [
+        (0.20, F.when(F.col("n") <= 1, F.lit(1.0)).otherwise(1.0 - (F.col(rank) - 1) / F.greatest(F.col("n") - 1, F.lit(1)))),
+        (0.25, found("exact")),
+        (0.30, found("required")),
+        (0.15, F.when(numeric.isNotNull() & negation.isNotNull(), (numeric + negation) / 2).otherwise(F.coalesce(numeric, negation))),
+        (0.10, nearness(F.col("near"), F.col("content"))),
+    ]
+    c = c.select("query_id", "doc_id", *[x.alias(f"x{i}") for i, (_, x) in enumerate(features)])
+    total = sum((F.coalesce(F.lit(w) * F.col(f"x{i}"), F.lit(0.0)) for i, (w, _) in enumerate(features)), F.lit(0.0))
+    weight = sum((F.when(F.col(f"x{i}").isNotNull(), w).otherwise(0.0) for i, (w, _) in enumerate(features)), F.lit(0.0))
+    scored = c.select("query_id", "doc_id", F.round(total / weight, 6).alias("score"))
+    return top_k(scored, k, "rerank_rank").withColumnRenamed("score", "rerank_score")
+
+
+def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Hits of `first`, and those of `second` for the queries that `first` has none for, with their origin."""
+    rest = second.join(first.select("query_id").distinct(), "query_id", "left_anti")
+    return first.withColumn("origin", F.lit("first")).unionByName(rest.withColumn("origin", F.lit("fallback")))
+
+
+def slots(hits: DataFrame, forced: Column, main: Column, k: int) -> DataFrame:
+    """k slots for each query: its best forced hit, then main hits, the rest last, each by (score, doc_id)."""
+    order = Window.partitionBy("query_id", F.col("tier")).orderBy(F.col("score").desc(), "doc_id")
+    tiered = hits.withColumn("tier", F.when(forced, 0).when(main, 1).otherwise(2)).withColumn("_r", F.row_number().over(order))
+    tiered = tiered.withColumn("tier", F.when((F.col("tier") == 0) & (F.col("_r") > 1), 2).otherwise(F.col("tier")))
+    last = Window.partitionBy("query_id").orderBy("tier", F.col("score").desc(), "doc_id")
+    return tiered.withColumn("slot", F.row_number().over(last)).where(F.col("slot") <= k).drop("_r")
+
+
+def merged_candidates(candidates: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, candidate_ids, rank, doc_id: candidates of one source as one, led by the lowest (rank, candidate_id)."""
+    order = F.struct("rank", "candidate_id")
+    ids = F.transform(F.array_sort(F.collect_list(order)), lambda x: x["candidate_id"])
+    return candidates.groupBy(*by).agg(F.array_distinct(ids).alias("candidate_ids"), F.min("rank").alias("rank"), F.min_by("doc_id", order).alias("doc_id"))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def hourly_counts(spark: SparkSession, path: str, late: str = "40 days") -> DataFrame:
@@ -30,3 +34,51 @@ def hourly_counts(spark: SparkSession, path: str, late: str = "40 days") -> Data
     rows = spark.read.parquet(f"{out}/rows")
     last = rows.groupBy("event_type", "hour").agg(F.max_by(F.struct("n", "total"), "batch").alias("v"))
     return last.select("event_type", F.col("hour").cast("string").alias("hour"), "v.n", F.round("v.total", 4).alias("total"))
+
+
+def transition_breaks(spark: SparkSession, path: str, subject: str, stage: str, refused: Sequence[tuple[str, str]], late_days: int = 40) -> DataFrame:
+    """subject, event_id, before, after of steps that are refused, from a stream of event files.
+
+    State holds the last stage of each subject, nothing else, and ends when the watermark is `late_days` past its
+    last event. A micro-batch goes through a subject's events in the order of their times.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    out = f"{root}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(path).schema
+    folder, _, name = path.rpartition("/")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", name if "." in name else "*").option("recursiveFileLookup", "true").parquet(folder)
+    timed = events.select(F.col("ts").cast("timestamp").alias("at"), F.col(subject).cast("long").alias("subject"), "event_id", F.col(stage).alias("stage")).withWatermark("at", f"{late_days} days")
+    bad = set(refused)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get[0] if state.exists else None
+        # the events of one subject within one micro-batch, whose size the trigger bounds
+        rows, found = pd.concat(list(batches)).sort_values(["at", "event_id"]), []
+        for event, after in zip(rows["event_id"], rows["stage"], strict=True):
+            if (before, after) in bad:
+                found.append((key[0], event, before, after))
+            before = after
+        state.update((before,))
+        state.setTimeoutTimestamp(int(rows["at"].max().timestamp() * 1000) + late_days * 86_400_000)
+        if found:
+            yield pd.DataFrame(found, columns=["subject", "event_id", "before", "after"])
+
+    steps = timed.groupBy("subject").applyInPandasWithState(
+        step, "subject long, event_id long, before string, after string", "stage string", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    rows = steps.writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
+    rows.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("subject long, event_id long, before string, after string").parquet(f"{out}/rows")
+
+
+def review_arrivals(spark: SparkSession, source: str, schema: StructType, review: Callable[[DataFrame], DataFrame], target: str, state: str) -> None:
+    """Run a review over the files that have arrived since the last call; each micro-batch's results are a folder of `target`, so a repeated batch replaces itself."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        review(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    stream = spark.readStream.schema(schema).parquet(source)
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

@@ -41,6 +41,16 @@ def stable_id(prefix: str, *parts: Column, size: int = 16) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(joined, 256), 1, size))
 
 
+#: Full-width forms of the printable ASCII characters and the wide space, with what they stand for.
+WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "\u3000"
+NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
+
+
+def fold(text: Column) -> Column:
+    """Full-width forms narrowed, case folded, without white space."""
+    return compact(F.translate(text, WIDE, NARROW))
+
+
 def compact(text: Column) -> Column:
     """Without any Unicode white space, case folded."""
     return F.lower(F.regexp_replace(text, r"(?U)\s+", ""))

@@ -10,7 +10,7 @@ from docketry.functions.text import DETECTORS, stable_id
 
 def line_units(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, unit (dense from 0), says: the non-blank lines of each text."""
-    lines = F.filter(F.transform(F.split(F.col(text), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return docs.select(key, F.posexplode(lines).alias("unit", "says"))
 
 

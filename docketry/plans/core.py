@@ -318,14 +318,14 @@ def verdict_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with base as (select o_custkey as id, count(*) as weight from orders group by 1), gone as (select c_custkey as id from customer where c_acctbal < 0),
-edit as (select c_custkey as id, c_nationkey as w from customer where c_custkey % 5 = 0)
+edit as (select c_custkey as id, c_nationkey as w from customer where c_mktsegment = 'BUILDING')
 select base.id, cast(coalesce(w, weight) as bigint) as weight, w is not null as edited from base left join edit on base.id = edit.id where base.id not in (select id from gone)"""
 )
 def rule_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A base set without what was removed, with edits laid over it."""
     c = table(spark, sf_dir, "customer")
     base = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("weight"))
-    edits = c.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("w"))
+    edits = c.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("w"))
     kept = base.join(c.where("c_acctbal < 0").select(F.col("c_custkey").alias("id")), "id", "left_anti").join(edits, "id", "left")
     return kept.select("id", F.coalesce("w", "weight").alias("weight"), F.col("w").isNotNull().alias("edited"))
 

@@ -24,11 +24,11 @@ def repeated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """select evidence_id, issue from (
   select l.doc_id as evidence_id, case when d.doc_id is null then 'no document' when l.doc_id % 5 = 0 then 'other version' when l.doc_id % 7 = 0 then 'excerpt changed'
     when length(substr(d.text, 11, 20)) = 0 and length(d.text) < 10 then 'outside' end as issue
-  from labels l left join (select doc_id, text from documents where doc_id % 11 <> 0) d on l.doc_id = d.doc_id) where issue is not null"""
+  from labels l left join (select doc_id, text from documents where source is distinct from 'src0') d on l.doc_id = d.doc_id) where issue is not null"""
 )
 def provenance_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts of labelled documents, some of them tampered with, against the documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     cited = table(spark, sf_dir, "labels").select("doc_id").join(docs, "doc_id")
     excerpt = F.substring("text", 11, 20)
     evidence = cited.select(
@@ -39,7 +39,7 @@ def provenance_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         excerpt.alias("excerpt"),
         F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat(excerpt, F.lit("!"))).otherwise(excerpt), 256).alias("excerpt_sha256"),
     )
-    return audit.provenance(evidence, docs.where("doc_id % 11 <> 0"), "doc_id")
+    return audit.provenance(evidence, docs.where("source is distinct from 'src0'").drop("source"), "doc_id")
 
 
 @query(
@@ -74,8 +74,8 @@ def package_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_custkey", F.size("documents").cast("long").alias("n_documents"), "snapshot")
 
 
-@query("select doc_id, source from documents where sha256(text) not in (select sha256(text) from documents where doc_id % 3 = 0 and text is not null) and text is not null")
+@query("select doc_id, source from documents where sha256(text) not in (select sha256(text) from documents join labels using (doc_id) where text is not null) and text is not null")
 def unseen_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose text no document of an earlier run (every third) has."""
+    """Documents whose text no document of an earlier run (the labelled ones) has."""
     docs = table(spark, sf_dir, "documents").where("text is not null").withColumn("sha", F.sha2("text", 256))
-    return packages.unseen(docs, docs.where("doc_id % 3 = 0"), ["sha"]).select("doc_id", "source")
+    return packages.unseen(docs, docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi"), ["sha"]).select("doc_id", "source")

@@ -68,29 +68,30 @@ def hit_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "with " + BM25.format(k=3) + """, v as (select * from lex where query_id % 3 <> 0), hits as (
+    "with " + BM25.format(k=3) + """, v as (select * from lex where doc_id in (select doc_id from labels)), hits as (
   select query_id, doc_id, lexical_rank, 'first' as origin from v
   union all select query_id, doc_id, lexical_rank, 'fallback' from lex where query_id not in (select query_id from v))
 select query_id, doc_id, lexical_rank, origin from hits"""
 )
 def fallback_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries without hits of the first retriever take those of the second."""
+    """Queries without hits of the first retriever, which sees labelled documents only, take those of the second."""
     hits = retrieval.top_k(_benchmark_hits(spark, sf_dir), 3, "lexical_rank").select("query_id", "doc_id", "lexical_rank")
-    return retrieval.with_fallback(hits.where("query_id % 3 <> 0"), hits)
+    first = hits.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    return retrieval.with_fallback(first.select(hits.columns), hits)
 
 
 @query(
     "with " + BM25.format(k=10) + """, c as (
-  select query_id, lexical_rank, contains(lower(d.text), lower(substr(b.text, 1, 30))) as met from lex join documents d using (doc_id) join benchmark b on b.item_id = query_id),
+  select query_id, lexical_rank, contains(lower(d.text), lower(b.text)) as met from lex join documents d using (doc_id) join benchmark b on b.item_id = query_id),
 p as (select query_id, query_id % 2 as half, max(lexical_rank) >= 10 as full_pool, bool_or(met and lexical_rank <= 5) as at5, bool_or(met) as at10, count_if(not met) as wrong, count(*) as n from c group by query_id)
 select coalesce(cast(half as varchar), 'all') as half, coalesce(cast(full_pool as varchar), 'all') as full_pool, count(*) as n_queries,
   round(count_if(at5)::double / count(*), 6) as recall5, round(count_if(at10)::double / count(*), 6) as recall10, round(sum(wrong)::double / sum(n)::double, 6) as error_rate
 from p group by cube (half, full_pool)"""
 )
 def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a passage of the item is among its best 5 and 10 hits, by slices and over all of them."""
+    """Whether the whole text of the item is among its best 5 and 10 hits, by slices and over all of them."""
     hits = retrieval.top_k(_benchmark_hits(spark, sf_dir), 10, "lexical_rank")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower(F.substring("text", 1, 30)).alias("phrase"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("phrase"))
     c = hits.join(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("content")), "doc_id").join(items, "query_id")
     met, rank = F.contains("content", F.col("phrase")), F.col("lexical_rank")
     per = c.groupBy("query_id", (F.col("query_id") % 2).cast("string").alias("half")).agg(

@@ -55,3 +55,10 @@ def test_total_check(spark):
     d = spark.createDataFrame([(1, 10.0), (2, 5.0), (3, 1.0)], "k int, total double")
     parts = spark.createDataFrame([(1, 4.0), (1, 6.0), (2, 4.0)], "k int, part double")
     assert {r.k: r.status for r in review.total_check(d, parts, "k", "total", "part").collect()} == {1: "PASS", 2: "WARN", 3: "UNKNOWN"}
+
+
+def test_line_units_keep_digits(spark):
+    """Lines lose spaces at their ends only, whatever their number."""
+    docs = spark.createDataFrame([(1, " 0 zero \n\n2 two 2\n 1 one"), (2, None)], "k int, text string")
+    got = [(r.unit, r.says) for r in corpus.line_units(docs, "k").orderBy("unit").collect()]
+    assert got == [(0, "0 zero"), (1, "2 two 2"), (2, "1 one")]

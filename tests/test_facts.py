@@ -102,3 +102,13 @@ def test_kinds(spark):
     docs = spark.createDataFrame([("p", "main.docx"), ("p", "x-annex.docx"), ("p", "other.docx")], "p string, filename string")
     kinds = spark.createDataFrame([("p", "main.docx", "MAIN"), ("p", "annex.docx", "ANNEX"), ("p", "in.docx", "X")], "p string, name string, kind string")
     assert {r.filename: r.kind for r in packages.kinds_by_name(docs, kinds, "p").collect()} == {"main.docx": "MAIN", "x-annex.docx": "ANNEX", "other.docx": None}
+
+
+def test_delivery(spark):
+    rows = [
+        (1, "term", "d", "交付地点为现场"), (1, "date", "d", "5月1日"), (2, "term", "d", "交付"), (2, "date", "d", "5月1日"), (3, "term", "d", "交付"),
+        (4, "date", "d", "5月1日"), (5, "term", "d", "地点"), (5, "date", "e", None), (6, "price", "d", "地点"),
+    ]
+    out = checks.delivery_status(spark.createDataFrame(rows, "k int, kind string, document string, text string"), "k")
+    got = {r.k: (r.status, r.reason) for r in out.collect()}
+    assert got == {1: ("PASS", "complete"), 2: ("WARN", "no place"), 3: ("UNKNOWN", "no date"), 4: ("UNKNOWN", "no term"), 5: ("UNKNOWN", "other documents")}

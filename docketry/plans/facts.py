@@ -48,6 +48,17 @@ def element_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.field_values(table(spark, sf_dir, "documents"), "doc_id", FIELDS)
 
 
+@query(
+    "with f as ("
+    + " union all ".join(f"select doc_id, '{f}' as field, regexp_extract_all(text, '{p}') as v from documents where text is not null" for f, p in FIELDS.items())
+    + """), o as (select doc_id, field, v[i] as value, i from (select *, unnest(range(1, len(v) + 1)) as i from f)),
+d as (select doc_id, field, value, min(i) as i from o group by all)
+select doc_id, field, value, cast(row_number() over (partition by doc_id, field order by i) as int) as nth from d"""
+)
+def element_values_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct value of whole documents; element_values keeps five, the reference's limit for one chunk."""
+    return facts.field_values(table(spark, sf_dir, "documents"), "doc_id", FIELDS, most=None)
+
 
 @query(
     """with r as (

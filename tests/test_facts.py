@@ -63,6 +63,12 @@ def test_within(spark):
     assert ids(retrieval.within(chunks, {}, overlap={"clauses": ["c1", "c9"]})) == [1] and ids(retrieval.within(chunks, {}, subset={"ev": ["e1"]})) == [1]
 
 
+def test_values_of_whole_documents(spark):
+    docs = spark.createDataFrame([(1, "\n".join(f"a{i} {i}0000" for i in range(1, 8)) + " 10000")], "d int, text string")
+    of = lambda most: [r.value for r in facts.field_values(docs, "d", {"n": "[0-9]{5,}"}, most).orderBy("nth").collect()]
+    assert of(None) == [f"{i}0000" for i in range(1, 8)] and of(5) == of(None)[:5]
+
+
 def test_merged_candidates(spark):
     rows = spark.createDataFrame([("c2", 1, 7, "s"), ("c1", 2, 8, "s"), ("c3", 1, 9, "t")], "candidate_id string, rank int, doc_id int, source string")
     got = {r.source: (r.candidate_ids, r.rank, r.doc_id) for r in retrieval.merged_candidates(rows, ["source"]).collect()}

@@ -58,7 +58,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return _lines_kept(dedup_lines(table(spark, sf_dir, "documents")))
+
+
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8_line_dedup, and later copies of one or two lines of over 50 words go too."""
+    return _lines_kept(dedup_lines(table(spark, sf_dir, "documents"), min_words=50))
+
+
+def _lines_kept(out: DataFrame) -> DataFrame:
     sha = F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256")
     return out.select("whole.doc_id", "n_lines", "n_removed", "n_runs", sha)
 

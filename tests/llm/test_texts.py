@@ -142,6 +142,19 @@ def test_line_dedup(spark, n):
     assert lines.dedup_lines(empty_docs(spark)).count() == 0
 
 
+def test_passages_of_few_lines(spark):
+    """Later copies of one or two lines go if they have over 50 words; other runs need three lines."""
+    long, half, short = (" ".join(f"{k}{i}" for i in range(n)) for k, n in (("a", 51), ("b", 26), ("c", 50)))
+    texts = [long, f"x\n{long}\ny", f"{half}\n{half}.", f"{half}\n{half}.\nz", f"{short}\nu", f"{short}\nv", f"{half}\nw\n{long}\n{long}", "k\nl\nm", "n\nk\nl\nm"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.kept, r.n_removed, r.n_runs) for r in lines.dedup_lines(docs, min_words=50).select("whole.doc_id", "kept", "n_removed", "n_runs").collect()}
+    assert got == {
+        0: (long, 0, 0), 1: ("x\ny", 1, 1), 2: (texts[2], 0, 0), 3: ("z", 2, 1), 4: (texts[4], 0, 0), 5: (texts[5], 0, 0),
+        6: (f"{half}\nw", 2, 1), 7: (texts[7], 0, 0), 8: ("n", 3, 1),
+    }
+    assert lines.dedup_lines(docs, min_words=10**6).select("kept").collect() == lines.dedup_lines(docs).select("kept").collect()
+
+
 def slow_substrings(texts, n):
     seen = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     for t in texts:

@@ -72,8 +72,10 @@ def _lines_kept(out: DataFrame) -> DataFrame:
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, then the text that is left; bytes cut out of a character read U+FFFD there."""
     out = dedup_substrings(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

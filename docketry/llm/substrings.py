@@ -4,17 +4,21 @@ Not every suffix is sorted. The leading token of a window of `length` bytes is t
 among the 128-byte grams in it; neighbouring windows with one leading token form a segment, and
 equal windows always have equal leading tokens. Segments whose leading token is alone in the corpus
 can't hold a repeated string and drop out; those left keep their bytes, and equal ones are counted
-as one. Sampled splitters then range-partition the segments by leading token. Each bucket
+as one, by a BLAKE2b digest of 128 bits, for which nobody can construct two different segments.
+Sampled splitters then range-partition the segments by leading token. Each bucket
 sorts the suffixes of its segments by a multikey quicksort over wide characters (two 8-byte words,
-then block hashes), all levels vectorised, groups of one dropped at each level. A leading token
-with more windows than one piece holds is dealt out to several buckets and compared across their
-boundaries: its windows are named by 128-bit hashes and counted by Spark.
+then block hashes), all levels vectorised, groups of one dropped at each level; groups that
+remain are compared byte by byte, so the hashes bear on cost alone. A leading token
+with more windows than one piece holds is dealt out to several buckets, sorted there like any
+other, and compared across their boundaries by the digests of its windows, which Spark counts.
 
 Texts are read in blocks and segments are of bounded size, so no text or leading token has to fit in
 memory as a whole, and copies in any number meet only as counts.
 
 Defined results: a null text is empty; texts below `length` bytes stay whole; rows alike in doc_id
-and text still count as two places, so both lose what they share; other columns are ignored.
+and text still count as two places, so both lose what they share (there is no first copy, so ties
+can't arise); very long texts are read in blocks and removed from whole; other columns, whatever
+their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -70,7 +74,14 @@ class Rolling:
         return self.spans(self.sums(data) if sums is None else sums, slice(0, n), slice(size, size + n))
 
 
-ONE, TWO = Rolling(1), Rolling(2)
+ONE = Rolling(1)
+
+
+def digests(data: bytes, starts: list[int], ends: list[int]) -> np.ndarray:
+    """Two longs of each byte range: its BLAKE2b digest of 128 bits."""
+    blake = hashlib.blake2b
+    joined = b"".join([blake(data[a:b], digest_size=16).digest() for a, b in zip(starts, ends, strict=True)])
+    return np.frombuffer(joined, dtype=np.int64).reshape(-1, 2)
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -85,7 +96,7 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(text: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """Of each segment: leading token, hash of its bytes, first start, number of starts, and 2 if it may repeat itself, else 1."""
+    """Of each segment: leading token, first start, number of starts, and 2 if it may repeat itself, else 1."""
     data, out, width = np.frombuffer(text, dtype=np.uint8), [], length - GRAM + 1
     for at in range(0, len(data) - length + 1, BLOCK):
         part = data[at : at + BLOCK + length - 1]
@@ -103,16 +114,17 @@ def segments(text: bytes, length: int) -> tuple[np.ndarray, ...]:
         led = led[np.lexsort((led, grams[led]))]
         near = (grams[led[1:]] == grams[led[:-1]]) & (led[1:] - led[:-1] < SEGMENT)
         times = 1 + np.isin(lead[edge[:-1]], grams[led[1:][near]]) if near.any() else np.ones(len(size))
-        out.append((lead[edge[:-1]], ONE.spans(sums, edge[:-1], edge[1:] + length - 1), edge[:-1] + at, size, times))
+        out.append((lead[edge[:-1]], edge[:-1] + at, size, times))
     if not out:
-        return (*[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 3)
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
     """Indices of starts whose next `length` bytes occur at another start of the same group.
 
-    Multikey quicksort by levels: within a group sort by the next character, split, go on.
+    Multikey quicksort by levels: within a group sort by the next character, split, go on. What
+    stays together to the end is compared by its bytes.
     """
     words = np.ndarray((max(0, len(data) - 7),), dtype=">u8", buffer=data.tobytes(), strides=(1,)) if len(data) >= 8 else np.zeros(0, dtype=">u8")
     block = (length - 16) // 4
@@ -128,7 +140,24 @@ def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: in
         name = np.cumsum(new) - 1
         keep = np.bincount(name)[name] > 1
         at, part = at[keep], name[keep]
-    return at
+    return _equal(data, words, starts, at, part, length) if len(at) else at
+
+
+def _equal(data: np.ndarray, words: np.ndarray, starts: np.ndarray, at: np.ndarray, part: np.ndarray, length: int) -> np.ndarray:
+    """Those of `at` whose bytes occur twice in their part."""
+    _, head, where = np.unique(part, return_index=True, return_inverse=True)
+    first = starts[at[head[where]]]
+    same = np.ones(len(at), dtype=bool)
+    for offset in [*range(0, length - 7, 8), length - 8]:
+        same &= words[starts[at] + offset] == words[first + offset]
+    if same.all():
+        return at
+    mixed = np.isin(part, part[~same])  # parts that only a hash held together
+    alike: dict[tuple[int, bytes], list[int]] = {}
+    for i, p in zip(at[mixed].tolist(), part[mixed].tolist(), strict=True):
+        alike.setdefault((p, data[starts[i] : starts[i] + length].tobytes()), []).append(i)
+    twice = [i for group in alike.values() if len(group) > 1 for i in group]
+    return np.concatenate([at[~mixed], np.array(twice, dtype=at.dtype)])
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -136,35 +165,50 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.nonzero(edge == 1)[0].tolist(), np.nonzero(edge == -1)[0].tolist(), strict=True))
 
 
-SEGMENT_OF = ["lead", "body_hash", "n"]
+SEGMENT_OF = ["lead", "body_a", "body_b", "n"]
+
+
+def _leads(docs: DataFrame, length: int) -> DataFrame:
+    """lead, times of every segment of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column("text"):
+                lead, _, _, times = segments(text.as_py().encode(), length)
+                yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64)), pa.array(times.astype(np.int32))], ["lead", "times"])
+
+    return docs.select(text_of().alias("text")).where(F.octet_length("text") >= length).mapInArrow(run, "lead long, times int")
 
 
 def _places(docs: DataFrame, length: int) -> DataFrame:
-    """lead, body_hash, key, start, n, times of every segment of every row."""
+    """SEGMENT_OF, KEY, start, times of every segment of every row."""
+    names = ["lead", "body_a", "body_b", *KEY, "start", "n", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held, size = [], 0
             for i, text in enumerate(b.column("text")):
-                lead, body, start, n, times = segments(text.as_py().encode(), length)
-                held.append((np.full(len(lead), i), lead.view(np.int64), body.view(np.int64), start, n.astype(np.int32), times.astype(np.int32)))
+                data = text.as_py().encode()
+                lead, start, n, times = segments(data, length)
+                body = digests(data, start.tolist(), (start + n + length - 1).tolist())
+                held.append((np.full(len(lead), i), lead.view(np.int64), body[:, 0], body[:, 1], start, n.astype(np.int32), times.astype(np.int32)))
                 size += len(lead)
                 if size > 50_000 or i == b.num_rows - 1:
-                    row, lead, body, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+                    row, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
                     held, size = [], 0
                     keys = [b.column(k).take(pa.array(row)) for k in KEY]
-                    yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(body), *keys, *map(pa.array, rest)], ["lead", "body_hash", *KEY, "start", "n", "times"])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, rest[:3]), *keys, *map(pa.array, rest[3:])], names)
 
     rows = docs.select(*row_key(), text_of().alias("text")).where(F.octet_length("text") >= length)
-    return rows.mapInArrow(run, "lead long, body_hash long, key_id long, key_text long, start long, n int, times int")
+    return rows.mapInArrow(run, "lead long, body_a long, body_b long, key_id long, key_text long, start long, n int, times int")
 
 
 def _bodies(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
-    """lead, body_hash, n, copies, large and the bytes of each class of equal segments, from one row that holds it."""
+    """SEGMENT_OF, copies, large and the bytes of each class of equal segments, from one row that holds it."""
     wanted = classes.groupBy("at.key_id", "at.key_text").agg(F.collect_set(F.struct(*SEGMENT_OF, "copies", "large", "at.start")).alias("segments"))
     rows = docs.select(*row_key(), text_of().alias("text")).join(wanted, KEY).select("text", "segments")
     names = [*SEGMENT_OF, "copies", "large", "body"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+    kinds = [*[pa.int64()] * 3, pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -179,7 +223,7 @@ def _bodies(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
             if out:
                 yield make(out)
 
-    return rows.mapInArrow(run, "lead long, body_hash long, n int, copies long, large boolean, body binary")
+    return rows.mapInArrow(run, "lead long, body_a long, body_b long, n int, copies long, large boolean, body binary")
 
 
 def _compare(bodies: DataFrame, length: int) -> DataFrame:
@@ -187,29 +231,31 @@ def _compare(bodies: DataFrame, length: int) -> DataFrame:
 
     def piece(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         """rows: SEGMENT_OF, copies, large, body; of a large leading token there may be more elsewhere."""
-        data = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint8)
-        offset = np.cumsum([0, *(len(r[5]) for r in rows)])
-        count = np.array([r[2] for r in rows])
+        lead, _, _, count, copies, large, body = zip(*rows, strict=True)
+        text = b"".join(body)
+        data = np.frombuffer(text, dtype=np.uint8)
+        offset = np.cumsum([0, *map(len, body)])
+        count = np.array(count)
         first = np.cumsum(count) - count
         owner = np.repeat(np.arange(len(rows)), count)
         rel = np.arange(len(owner)) - first[owner]
         starts = offset[owner] + rel
-        same = repeated(data, starts, np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1][owner], length)
+        same = repeated(data, starts, np.unique(np.array(lead), return_inverse=True)[1][owner], length)
         flags = np.zeros(len(starts), dtype=bool)
         flags[same] = True
-        flags |= np.array([r[3] > 1 for r in rows])[owner]
-        once = (i for i, r in enumerate(rows) if r[3] == 1)  # of the others all starts are known to be repeated
-        out = [(*rows[i][:3], a, b, None, None) for i in once for a, b in _spans(flags[first[i] : first[i] + count[i]])]
-        far = np.nonzero(np.array([r[4] for r in rows])[owner])[0]
+        flags |= (np.array(copies) > 1)[owner]
+        once = (i for i, c in enumerate(copies) if c == 1)  # of the others all starts are known to be repeated
+        out = [(*rows[i][:4], a, b, None, None) for i in once for a, b in _spans(flags[first[i] : first[i] + count[i]])]
+        far = np.nonzero(np.array(large)[owner])[0]
         if len(far):
-            one, two = ONE.grams(data, length)[starts[far]], TWO.grams(data, length)[starts[far]]
+            names = digests(text, starts[far].tolist(), (starts[far] + length).tolist())
             # one of the windows that are alike here stands for them all, if all are settled
-            _, pick = np.unique(np.stack([one, two]), axis=1, return_index=True)
+            _, pick = np.unique(names, axis=0, return_index=True)
             pick = np.union1d(pick, np.nonzero(~flags[far])[0])
-            columns = (x[far[pick]].tolist() for x in (owner, rel)), (x[pick].view(np.int64).tolist() for x in (one, two))
-            out += [(*rows[o][:3], r, r + 1, x, y) for o, r, x, y in zip(*columns[0], *columns[1], strict=True)]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        columns = zip(*out, strict=True) if out else [[]] * 7
+            columns = (x.tolist() for x in (owner[far[pick]], rel[far[pick]], names[pick, 0], names[pick, 1]))
+            out += [(*rows[o][:4], r, r + 1, x, y) for o, r, x, y in zip(*columns, strict=True)]
+        kinds = [*[pa.int64()] * 3, *[pa.int32()] * 3, pa.int64(), pa.int64()]
+        columns = zip(*out, strict=True) if out else [[]] * 8
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [*SEGMENT_OF, "from", "to", "w1", "w2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,25 +263,24 @@ def _compare(bodies: DataFrame, length: int) -> DataFrame:
         size = 0
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in (*SEGMENT_OF, "copies", "large", "body")), strict=True):
-                if size >= PIECE and (held[-1][0] != row[0] or row[4]):
+                if size >= PIECE and (held[-1][0] != row[0] or row[5]):
                     yield from piece(held)
                     held, size = [], 0
                 held.append(row)
-                size += row[2]
+                size += row[3]
         if held:
             yield from piece(held)
 
     # a large leading token is dealt out by the rest of its segments too; any other lies in one bucket
-    dealt = bodies.withColumn("further", F.when(F.col("large"), F.col("body_hash")).otherwise(F.lit(0)))
-    dealt = dealt.repartitionByRange("lead", "further").sortWithinPartitions("lead", "body_hash").drop("further")
-    return dealt.mapInArrow(run, "lead long, body_hash long, n int, from int, to int, w1 long, w2 long")
+    dealt = bodies.withColumn("further", F.when(F.col("large"), F.col("body_a")).otherwise(F.lit(0)))
+    dealt = dealt.repartitionByRange("lead", "further").sortWithinPartitions("lead", "body_a").drop("further")
+    return dealt.mapInArrow(run, "lead long, body_a long, body_b long, n int, from int, to int, w1 long, w2 long")
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """key_id, key_text, spans: (start, end) byte ranges of windows that start elsewhere too; may overlap."""
-    places = _places(docs, length)
-    leads = places.groupBy("lead").agg(F.sum("times").alias("all")).where("all > 1").select("lead")
-    shared = cut(places.join(leads, "lead"))
+    leads = _leads(docs, length).groupBy("lead").agg(F.sum("times").alias("all")).where("all > 1").select("lead")
+    shared = cut(_places(docs, length).join(leads, "lead"))
     classes = shared.groupBy(*SEGMENT_OF).agg(F.count("*").alias("copies"), F.max("times").alias("times"), F.min(F.struct(*KEY, "start")).alias("at"))
     sizes = classes.groupBy("lead").agg(F.count("*").alias("bodies"), F.sum("n").alias("windows"))
     classes = cut(classes.join(sizes, "lead").withColumn("large", F.col("windows") > PIECE))

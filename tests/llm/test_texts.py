@@ -1,6 +1,7 @@
 """Language id, secrets, chat, line and substring dedup against brute force, round trips and held-out rows."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -31,6 +32,40 @@ def test_language(spark):
     assert langid.predict(edge_docs(spark), langid.train(empty_docs(spark))).where("lang_pred = 'und'").count() == len(TEXTS)
 
 
+def test_language_by_hand(spark):
+    """Multinomial naive Bayes over the same hashed n-grams, written out in plain Python."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat", "en"), ("a dog ran off", "en"), ("der Hund lief", "de"), ("die Katze saß da", "de"), ("le chat dort", "fr"), ("x", None), (None, "en")])]
+    asked = [(10, "the dog sat"), (11, "die Katze lief"), (12, "le chien dort"), (13, "Zebra!"), (14, "the cat sat " * 50)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), bits=12)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+
+    def grams(text):
+        points = [ord(c) for c in f" {text.lower()} "]
+        for n in range(1, 5):
+            for i in range(len(points) - n + 1):
+                h = 0
+                for p in points[i : i + n]:
+                    h = (h + p) * 0x9E3779B1 % 2**32
+                    h ^= h >> 15
+                yield (h * 0x9E3779B1 % 2**32) >> 20
+
+    known = [(t, lang) for _, t, lang in rows if t and lang]
+    counts = defaultdict(Counter)
+    for t, lang in known:
+        counts[lang].update(grams(t))
+    prior = Counter(lang for _, lang in known)
+    for i, t in asked:
+        joint = {}
+        for lang, c in counts.items():
+            total = sum(c.values()) + 0.1 * 2**12
+            joint[lang] = math.log(prior[lang] / len(known)) + sum(math.log((c[g] + 0.1) / total) for g in grams(t))
+        best = max(sorted(joint), key=joint.get)
+        score = 1 / sum(math.exp(x - joint[best]) for x in joint.values())
+        assert got[i][0] == best and math.isclose(got[i][1], score, rel_tol=1e-4)
+    with pytest.raises(ValueError, match="distinct values"):
+        langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=2)
+
+
 def test_features_in_blocks(monkeypatch):
     text = "Überall äußert sich Öl " * 50
     whole = Counter(np.concatenate(list(langid.text_features(text, 16, 4))).tolist())
@@ -192,8 +227,27 @@ def test_substrings(spark, monkeypatch, piece):
 
 def test_segments_in_blocks(monkeypatch):
     data = (passages()[0] * 9).encode()
-    lead, _, _, n, _ = substrings.segments(data, 400)
+    lead, _, n, _ = substrings.segments(data, 400)
     monkeypatch.setattr(substrings, "BLOCK", 300)
     again = substrings.segments(data, 400)
-    assert np.repeat(lead, n).tolist() == np.repeat(again[0], again[3]).tolist() and n.sum() == len(data) - 399
+    assert np.repeat(lead, n).tolist() == np.repeat(again[0], again[2]).tolist() and n.sum() == len(data) - 399
     assert substrings.segments(b"short", 400)[0].size == 0
+
+
+def test_equal_hashes_of_other_bytes(monkeypatch):
+    """Block hashes that always agree change nothing, as bytes decide in the end."""
+    rng = np.random.default_rng(3)
+    one, two = (rng.integers(0, 256, 400, dtype=np.uint8) for _ in range(2))
+    two[:16] = one[:16]
+    data = np.concatenate([one, two, one, two[:399], [0]]).astype(np.uint8)
+    monkeypatch.setattr(substrings.ONE, "grams", lambda data, size, sums=None: np.zeros(len(data) - size + 1, dtype=np.uint64))
+    starts = np.array([0, 400, 800, 1200])
+    assert sorted(substrings.repeated(data, starts, np.zeros(4, dtype=np.int64), 400).tolist()) == [0, 2]
+
+
+def test_remaining_text(spark):
+    """The query returns what is left of a text beside its hash."""
+    for r in queries.op9_substrings(spark, DATA).collect():
+        assert len(r.text.encode()) >= r.n_bytes - r.n_removed
+        if "\ufffd" not in r.text:
+            assert sha(r.text) == r.kept_sha256

@@ -4,7 +4,8 @@ A benchmark item is cut into windows of `window` words (a shorter item is one wi
 shingles of a window are ordered by their rarity in the corpus; for exact containment the
 necessary prefix is the rarest one alone. Document positions join on that shingle; the window
 must fit the document at the position so implied (length and position bounds) and is then
-verified word by word.
+verified word by word. Windows of fewer words than a shingle have shingles of their own length;
+the others keep theirs. Joined rows carry a window's number; its items follow at the end.
 
 The windows are joined in blocks of bounded size, each broadcast: a block has at most
 `block_windows` windows of at most `window` words. Beyond that there are more blocks, not larger
@@ -12,7 +13,10 @@ ones. Nothing but matches and one narrow row for each document is shuffled.
 
 Defined results: null and empty texts have no words and are clean; items without words have no
 windows; a null item id counts as the empty string; rows alike in doc_id and text get the same
-result; an empty benchmark or document table works.
+result, ties of equally rare shingles go to the lesser hash and bear on cost alone; an empty
+benchmark or document table works. Very long texts are taken whole: the words of one text meet in
+one task as an array, but never more than one text's. Other columns are ignored by contamination
+and come back from decontaminate, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,20 +36,30 @@ def item_words(text: Column) -> Column:
 
 
 def _gram(w: Column, at: Column, size: int) -> Column:
-    return F.xxhash64(*[F.get(w, at + i) for i in range(size)])
+    return F.xxhash64(F.lit(size), *[F.get(w, at + i) for i in range(size)])
 
 
-def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
-    """Distinct windows `win` with the ids of the items that hold them."""
+def windows_of(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct windows `win` with a number `wid`, and the items (wid, item) that hold them."""
     w = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), item_words(text_of()).alias("w"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
-    return (
+    pairs = (
         w.where(F.size("w") > 0)
         .select("item", "w", F.explode(starts).alias("at"))
         .select("item", F.slice("w", F.col("at") + 1, window).alias("win"))
-        .groupBy("win")
-        .agg(F.collect_set("item").alias("items"))
+        .distinct()
     )
+    wins = cut(pairs.select("win").distinct().withColumn("wid", F.monotonically_increasing_id()))
+    return wins, cut(pairs.join(wins, "win").select("wid", "item"))
+
+
+def _shingled(rows: DataFrame, sizes: list[int], at: Column, n: Column, out: str) -> DataFrame:
+    """A row with `out` for each shingle size that fits at the position `at` of the n words in w; one with null before the first."""
+    grams = [F.when(at <= n - size, _gram(F.col("w"), F.col("pos"), size)) for size in sizes]
+    if len(sizes) == 1:
+        return rows.withColumn(out, F.when(at >= 0, grams[0]))
+    none = F.array(F.lit(None).cast("long"))
+    return rows.withColumn(out, F.explode(F.when(at >= 0, F.array(*grams)).otherwise(none)))
 
 
 def _document_words(docs: DataFrame) -> DataFrame:
@@ -70,53 +84,51 @@ def contamination(
 
     With `keys` also key_id and key_text, which identify a row by id and content.
     """
-    wins = cut(windows_of(benchmark, window))
-    about = wins.agg(F.count("*").alias("n"), F.min(F.size("win")).alias("least")).first()
-    size = min(shingle, about["least"] or shingle)
+    wins, members = windows_of(benchmark, window)
+    about = wins.agg(F.count("*").alias("n"), F.collect_set(F.least(F.size("win"), F.lit(shingle))).alias("sizes")).first()
+    sizes = sorted(about["sizes"]) or [shingle]  # short windows have short shingles and leave those of long ones alone
     words = _document_words(docs)
     at = F.posexplode("w").alias("pos", "word")
 
-    grams = wins.select("win", F.explode(F.sequence(F.lit(0), F.size("win") - size)).alias("off")).withColumn("gram", _gram(F.col("win"), F.col("off"), size))
+    own = F.least(F.size("win"), F.lit(shingle))
+    grams = wins.select("wid", "win", F.explode(F.sequence(F.lit(0), F.size("win") - own)).alias("off"))
+    gram = F.coalesce(*[F.when(own == size, _gram(F.col("win"), F.col("off"), size)) for size in sizes])
+    grams = grams.withColumn("gram", gram).select("wid", "off", "gram")
     wanted = cut(grams.select("gram").distinct())
     found = None
-    for block in _blocks(wanted, "gram", about["n"] * (window - size + 1), block_windows * 4):
-        part = words.select("w", at).where(F.col("pos") <= F.size("w") - size).select(_gram(F.col("w"), F.col("pos"), size).alias("gram"))
+    for block in _blocks(wanted, "gram", about["n"] * window, block_windows * 4):
+        part = _shingled(words.select("w", at), sizes, F.col("pos"), F.size("w"), "gram").select("gram")
         part = part.join(F.broadcast(block), "gram").groupBy("gram").agg(F.count("*").alias("df"))
         found = part if found is None else found.union(part)
     rare = F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram"), F.col("off"))
-    prefix = grams.join(found, "gram", "left").groupBy("win").agg(F.min(rare).alias("rare"))
-    prefix = cut(prefix.join(wins, "win").select("win", "items", "rare.gram", "rare.off"))
+    prefix = grams.join(found, "gram", "left").groupBy("wid").agg(F.min(rare).alias("rare"))
+    prefix = cut(prefix.join(wins, "wid").select("wid", "win", "rare.gram", "rare.off"))
 
     # the element in front of the words carries the document itself through the join
-    head = F.lit(None).cast("array<string>").alias("win")
+    kind = prefix.select(F.struct("wid", "win", "off").alias("m")).schema["m"].dataType.simpleString()
     per_block = []
-    for k, block in enumerate(_blocks(prefix, "win", about["n"], block_windows)):
-        build = block.select("gram", F.struct("win", "items", "off").alias("m"))
-        if k == 0:
-            mark = F.struct(head, F.lit(None).cast("array<string>").alias("items"), F.lit(0).alias("off"))
-            spark = docs.sparkSession
-            build = build.union(spark.range(1).select(F.lit(None).cast("long").alias("gram"), mark.alias("m")))
-            longer = F.concat(F.array(F.lit("")), "w")
-            rows = words.select("doc_id", "key_id", "key_text", longer.alias("w")).select("*", at)
-        else:
-            rows = words.select("doc_id", "key_id", "key_text", F.concat(F.array(F.lit("")), "w").alias("w")).select("*", at).where("pos > 0")
+    for k, block in enumerate(_blocks(prefix, "wid", about["n"], block_windows)):
+        build = block.select("gram", F.struct("wid", "win", "off").alias("m"))
+        rows = words.select("doc_id", "key_id", "key_text", F.concat(F.array(F.lit("")), "w").alias("w")).select("*", at)
         n = F.size("w") - 1
-        # gram is null for the document's own row, and only there
-        key = F.when((F.col("pos") > 0) & (F.col("pos") <= n - size + 1), _gram(F.col("w"), F.col("pos"), size))
-        rows = rows.where((F.col("pos") == 0) | (F.col("pos") <= n - size + 1)).withColumn("key", key)
+        # key is null for the document's own row, and only there
+        hits = _shingled(rows.where("pos > 0"), sizes, F.col("pos") - 1, n, "key").where("key is not null")
+        if k == 0:
+            one = docs.sparkSession.range(1).select(F.lit(None).cast("long").alias("gram"), F.lit(None).cast(kind).alias("m"))
+            build = build.union(one)
+            hits = _shingled(rows, sizes, F.col("pos") - 1, n, "key").where("pos = 0 or key is not null")
         start = F.col("pos") - F.col("m.off")
         fits = (start >= 1) & (start + F.size("m.win") - 1 <= n)
         same = F.slice("w", F.when(fits, start + 1).otherwise(F.lit(1)), F.size("m.win")) == F.col("m.win")
-        hit = F.col("m.win").isNull() | (fits & same)
-        joined = rows.join(F.broadcast(build), rows["key"].eqNullSafe(build["gram"])).where(hit)
+        joined = hits.join(F.broadcast(build), hits["key"].eqNullSafe(build["gram"])).where(F.col("m").isNull() | (fits & same))
         per_block.append(
             joined.select(
                 "doc_id",
                 "key_id",
                 "key_text",
-                F.when(F.col("m.win").isNull(), n).alias("n_words"),
-                F.when(F.col("m.win").isNotNull(), F.struct(start.alias("start"), F.size("m.win").alias("size"))).alias("span"),
-                F.col("m.items").alias("items"),
+                F.when(F.col("m").isNull(), n).alias("n_words"),
+                F.when(F.col("m").isNotNull(), F.struct(start.alias("start"), F.size("m.win").alias("size"))).alias("span"),
+                F.col("m.wid").alias("wid"),
             )
         )
     every = per_block[0]
@@ -127,8 +139,12 @@ def contamination(
         F.count("n_words").alias("copies"),
         F.max("n_words").cast("long").alias("n_words"),
         F.sort_array(F.collect_set("span")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.collect_set("wid").alias("wids"),
     )
+    # item ids meet windows only after a document's windows are distinct
+    hit = grouped.where(F.size("wids") > 0).select("key_id", "key_text", F.explode("wids").alias("wid")).join(members, "wid")
+    items = hit.groupBy("key_id", "key_text").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    grouped = grouped.join(items, ["key_id", "key_text"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     first = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("end"))
     step = lambda a, s: F.struct(
         (a["hit"] + F.greatest(F.lit(0), s["start"] + s["size"] - F.greatest(a["end"], s["start"]))).alias("hit"),

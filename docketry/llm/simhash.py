@@ -8,7 +8,11 @@ into chunks of bounded size. A compared pair of chunks yields a spanning star fo
 connected parts instead of all its links, which leaves the components unchanged.
 
 Defined results: a null, empty or blank text has fingerprint zero and links like any other;
-null ids never name a component (a component of null ids alone has a null component_id).
+null ids never name a component (a component of null ids alone has a null component_id). Repeated
+rows share fingerprint and component and are each returned (keep_one keeps one of them). Very long
+texts are fingerprinted in blocks. Ties can't arise: a component is named by its least id. Other
+columns are ignored, whatever their names, and come back from keep_one; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -40,8 +44,22 @@ def word_blocks(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
+def bit_sums(h: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit set."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), block):
+        bits = np.unpackbits(h[at : at + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def majority(ones: np.ndarray, total: int) -> int:
+    """The number whose bits are those set in over half of `total` hashes."""
+    return int(np.packbits((2 * ones > total).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
-    """64 majority bits over the XXH64 values of the lower-cased word shingles."""
+    """64 majority bits over the XXH64 values of the lower-cased word shingles, in blocks, however long the text."""
     ones, total, carry = np.zeros(64, dtype=np.int64), 0, []
     for block in word_blocks((text or "").encode().lower()):
         carry = carry + block
@@ -49,14 +67,14 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
         digest = xxhash.xxh64_intdigest
         h = np.array([digest(g, seed) for g in grams], dtype=np.uint64)
         if len(h):
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            ones += bit_sums(h)
             total += len(h)
             carry = carry[-(size - 1) :]
     if not total:
         if not carry:
             return 0
         return xxhash.xxh64_intdigest(b" ".join(carry), seed)
-    return int(np.packbits((2 * ones > total).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+    return majority(ones, total)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -117,10 +135,12 @@ def link_stars(distinct: DataFrame, radius: int = 2) -> DataFrame:
         .agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     )
     chunks = cut(chunks)
+    # pairs of chunks are dealt out by the chunk, not by the tile, of which the fullest hold many
     offsets = F.array(*[F.lit(tile(o)) for o in _neighbours(radius)])
     left = chunks.select(F.col("tile").alias("from"), F.col("chunk").alias("c"), F.col("fps").alias("a"), F.explode(offsets).alias("o"))
-    left = left.withColumn("tile", F.col("from") + F.col("o"))
-    pairs = left.join(chunks.withColumnRenamed("fps", "b"), "tile").where((F.col("o") != 0) | (F.col("c") <= F.col("chunk")))
+    left = left.withColumn("tile", F.col("from") + F.col("o")).join(F.broadcast(sizes), "tile")
+    others = F.sequence(F.when(F.col("o") == 0, F.col("c")).otherwise(F.lit(0)).cast("long"), (F.col("chunks") - 1).cast("long"))
+    pairs = left.select("tile", "a", F.explode(others).alias("chunk")).join(chunks.withColumnRenamed("fps", "b"), ["tile", "chunk"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:

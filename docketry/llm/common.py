@@ -17,16 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the cluster's shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local session (tests) may do without and gets one of this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-checkpoint-")
 
-    The folder comes from spark.checkpoint.dir. Only where that is unset (local tests) a
-    temporary folder of this machine is used.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the cluster's shared checkpoint folder and cut its lineage."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -51,7 +54,7 @@ def let(value: Column, body) -> Column:
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Two longs that identify a row by id and content; rows alike in both share a key."""
+    """Two longs that identify a row by id and content; rows alike in both share a key. Ids are whole numbers or texts of such."""
     return [
         F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("key_id"),
         F.xxhash64(F.col(doc_id).isNull(), F.col(text).isNull(), F.col(text)).alias("key_text"),

@@ -6,7 +6,10 @@ one more shard takes records only into itself, and a weight moves only what it m
 
 Defined results: a null key is the key '' and a null text has no bytes and the checksum 0;
 rows with equal keys share a shard; ties go to the lower shard number. Slots number the records
-of a shard from 0 without gaps, in the order of a hash of their keys.
+of a shard from 0 without gaps, in the order of a hash of their keys; repeated rows get a slot each.
+Of a text only its bytes and checksum are taken, so its length is no matter. An empty table gives
+an empty result. A carried column that bears the name of a result (in any case of letters) is
+called `carried_` and that name, with `carried_` repeated until the name is free.
 """
 
 from __future__ import annotations
@@ -19,13 +22,32 @@ from pyspark.sql import functions as F
 from docketry.llm.common import positions, text_of
 
 
-def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """The shard (0 to len(weights) - 1) of a string key."""
+def _draws(key: Column, weights: Sequence[float]) -> list[Column]:
     draws = []
     for shard, weight in enumerate(weights):
         u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11).cast("double") + 0.5) / float(2**53)
         draws.append(F.struct((-F.ln(u) / float(weight)).alias("cost"), F.lit(shard).alias("shard")))
-    return F.array_min(F.array(*draws))["shard"]
+    return draws
+
+
+def rendezvous(key: Column, weights: Sequence[float]) -> Column:
+    """The shard (0 to len(weights) - 1) of a string key."""
+    return F.array_min(F.array(*_draws(key, weights)))["shard"]
+
+
+RESULTS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def free_names(names: Sequence[str], taken: Sequence[str] = RESULTS) -> list[str]:
+    """The names, with `carried_` in front where one is taken already."""
+    used, out = {n.lower() for n in [*taken, *names]}, []
+    for name in names:
+        free = name
+        while free.lower() in map(str.lower, taken) or (free != name and free.lower() in used):
+            free = f"carried_{free}"
+        used.add(free.lower())
+        out.append(free)
+    return out
 
 
 def assign_shards(docs: DataFrame, weights: Sequence[float], overhead: int = 16, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -34,14 +56,17 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], overhead: int = 16,
     Counting the shards reads the key alone; rows move once, to their place in their shard.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    draws = _draws(key, [*weights, 1.0])
     drawn = docs.select(
-        F.struct(*carry).alias("carried"),
+        F.struct(*[F.col(c).alias(new) for c, new in zip(carry, free_names(carry), strict=True)]).alias("carried"),
         F.col("doc_id").alias("id"),
         (F.octet_length(text_of()) + overhead).cast("long").alias("size"),
         F.crc32(text_of().cast("binary")).alias("text_crc32"),
-        rendezvous(key, weights).alias("shard"),
-        rendezvous(key, [*weights, 1.0]).alias("grown_shard"),
+        F.array_min(F.array(*draws[:-1])).alias("best"),
+        draws[-1].alias("further"),
         F.xxhash64(key, F.lit("slot")).alias("ticket"),
     )
+    grown = F.array_min(F.array("best", "further"))["shard"].alias("grown_shard")
+    drawn = drawn.select("carried", "id", "size", "text_crc32", F.col("best.shard").alias("shard"), grown, "ticket")
     placed = positions(drawn, ["shard"], "ticket", ["id", "text_crc32", "size"], "slot")
     return placed.select("carried.*", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

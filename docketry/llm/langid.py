@@ -10,7 +10,9 @@ text is scored whole.
 
 Defined results: a null text or one without a letter is `und` with score 0; so is every text where
 nothing could be learned. Equal scores go to the language that sorts first. Rows are scored one by
-one, so nulls in other columns, repeats and further columns have no effect.
+one, so nulls in other columns, repeats and further columns have no effect. Very long texts are
+read in blocks of code points; an empty table gives an empty result. A lang column of more than
+`most_languages` values is refused with an error.
 """
 
 from __future__ import annotations
@@ -64,10 +66,15 @@ def text_features(text: str, bits: int, longest: int) -> Iterator[np.ndarray]:
         yield features(points, bits, longest, longest - 1 if k else 0)
 
 
-def train(labelled: DataFrame, bits: int = 16, longest: int = 4, rows_per_language: int = 5_000, smoothing: float = 0.1) -> Model:
-    """Learn from the columns text and lang (neither null) of `labelled`."""
+def train(labelled: DataFrame, bits: int = 16, longest: int = 4, rows_per_language: int = 5_000, smoothing: float = 0.1, most_languages: int = 200) -> Model:
+    """Learn from the columns text and lang (neither null) of `labelled`.
+
+    More than `most_languages` distinct values of lang are refused: the matrix has a column for each.
+    """
     rows = labelled.where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"lang has more than {most_languages} distinct values; clean it or raise most_languages")
     languages = sorted(sizes)
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, rows_per_language / sizes[lang]))])
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).cast("double") / float(2**63)

@@ -2,21 +2,24 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from docketry.llm.common import table
 from docketry.llm.decontaminate import contamination, decontaminate
 from docketry.llm.mixing import fit_counts, mix, mixed
 from docketry.llm.quality import POLICIES, RULES, ablation, apply_policy, keep_good, ledger
-from docketry.llm.sharding import assign_shards
-from docketry.llm.simhash import components, fingerprint, keep_one, near_duplicates
+from docketry.llm import simhash
+from docketry.llm.sharding import RESULTS, assign_shards
+from docketry.llm.simhash import components, fingerprint, keep_one, link_stars, near_duplicates
 from tests.conftest import DATA
-from tests.llm.helpers import TEXTS, edge_docs, empty_docs, listed
+from tests.llm.helpers import PROSE, TEXTS, edge_docs, empty_docs, listed
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -155,6 +158,15 @@ def test_contamination_of_nothing(spark):
     assert contamination(edge_docs(spark), one).where("n_hit > 0").count() == 5
 
 
+def test_contamination_of_short_and_long_items(spark):
+    """Windows of one, two and thirteen words have shingles of their own length."""
+    items = [(1, "fox"), (2, "lazy dog"), (3, PROSE), (4, "amber near the river bank today and more than that number of words here"), (5, "one two"), (6, PROSE)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(slow_contamination([(i, t) for i, t, _, _ in TEXTS], items), key=repr)
+    for block in (50_000, 2):
+        assert listed(contamination(edge_docs(spark), bench, block_windows=block), *COLS) == want
+
+
 def test_mixing(spark):
     for docs, rows in both(spark):
         size = defaultdict(int)
@@ -212,6 +224,34 @@ def test_sharding(spark):
     assert assign_shards(empty_docs(spark), [1.0] * 3).count() == 0
 
 
+def test_shards_carry_any_names(spark):
+    """Carried columns that bear a result's name are renamed, and nothing of them is lost."""
+    docs = edge_docs(spark).withColumns({n: F.lit(n) for n in ("Shard", "slot", "law", "text_crc32", "grown_shard", "carried_size")})
+    got = assign_shards(docs, [1.0] * 4, carry=docs.columns)
+    assert len(set(map(str.lower, got.columns))) == len(got.columns) == len(docs.columns) + 6
+    assert set(RESULTS) <= set(got.columns) and {"carried_Shard", "carried_slot", "carried_carried_size", "carried_size"} <= set(got.columns)
+    assert got.where("carried_Shard = 'Shard' and carried_slot = 'slot' and carried_law = 'law'").count() == len(TEXTS)
+    assert assign_shards(docs.limit(0), [1.0] * 4, carry=docs.columns).count() == 0
+
+
+def test_hot_tile(spark):
+    """A tile of many chunks links as one of a single chunk does."""
+    rng = random.Random(5)
+    base = [sum(1 << b for b in [*rng.sample(range(16), 8), *(16 + x for x in rng.sample(range(16), 8)), *range(32, 40), *range(48, 56)]) for _ in range(400)]
+    prints = sorted({p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for p in base for _ in range(3)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    small = simhash.CHUNK
+    roots = []
+    for chunk in (32, small):
+        simhash.CHUNK = chunk
+        found = components(link_stars(spark.createDataFrame([(p,) for p in signed], "fp long"), 2))
+        roots.append({r.node % 2**64: r.root % 2**64 for r in found.collect()})
+    groups = [{frozenset(k for k in r if r[k] == v) for v in r.values()} for r in roots]
+    want = classes(prints)
+    slow = {frozenset(p for p in prints if want[p] == v) for v in want.values()}
+    assert groups[0] == groups[1] == {g for g in slow if len(g) > 1}
+
+
 def test_shard_weights(spark):
     docs = spark.range(20_000).selectExpr("id as doc_id", "'x' as text")
     n = Counter(r.shard for r in assign_shards(docs, [1.0, 3.0]).collect())

@@ -33,14 +33,20 @@ def provenance(evidence: DataFrame, documents: DataFrame, key: str) -> DataFrame
 
 
 def row_hash(columns: Sequence[str]) -> Column:
-    """SHA-256 of the columns in their order; a null differs from an empty string."""
-    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in columns]), 256)
+    """SHA-256 of the columns in their order, each with its length in front; a null differs from an empty string."""
+    part = lambda c: F.concat(F.length(c), F.lit("="), c)
+    return F.sha2(F.concat(*[F.coalesce(part(F.col(c).cast("string")), F.lit("~")) for c in columns]), 256)
+
+
+def _sums(h: Column) -> list[Column]:
+    """Numbers from all of a digest, whose sums stand for a bag of rows."""
+    return [F.conv(F.substring(h, i, 13), 16, 10).cast("decimal(30,0)") for i in (1, 14, 27, 40, 53)]
 
 
 def fingerprint(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """by, n, fingerprint: a sum over row hashes, so neither order nor partitioning matters and nothing is gathered."""
-    part = F.conv(F.substring(row_hash(columns), 1, 12), 16, 10).cast("decimal(20,0)")
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("fingerprint"))
+    sums = [F.sum(p).cast("string") for p in _sums(F.col("_h"))]
+    return rows.withColumn("_h", row_hash(columns)).groupBy(*by).agg(F.count("*").alias("n"), F.concat_ws("-", *sums).alias("fingerprint"))
 
 
 def replay_differences(first: DataFrame, second: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -48,10 +54,10 @@ def replay_differences(first: DataFrame, second: DataFrame, keys: Sequence[str],
 
     Both runs meet in one aggregation; a key's rows are compared as a bag by their number and hash sums.
     """
-    h = F.conv(F.substring(row_hash(columns), 1, 12), 16, 10).cast("decimal(20,0)").alias("_h")
+    h = row_hash(columns).alias("_h")
     rows = first.select(*keys, F.lit(True).alias("_first"), h).union(second.select(*keys, F.lit(False), h))
-    total = lambda c: F.sum(F.when(c, F.col("_h")))
     a, b = F.col("_first"), ~F.col("_first")
+    total = lambda c: F.struct(*[F.sum(F.when(c, p)) for p in _sums(F.col("_h"))])
     both = rows.groupBy(*keys).agg(F.count_if(a).alias("_a"), F.count_if(b).alias("_b"), (total(a) == total(b)).alias("_same"))
     state = F.when(F.col("_b") == 0, "missing").when(F.col("_a") == 0, "new").when((F.col("_a") != F.col("_b")) | ~F.col("_same"), "changed")
     return both.select(*keys, state.alias("state")).where("state is not null")

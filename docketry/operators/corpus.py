@@ -35,3 +35,11 @@ def personal_data(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, *counts, F.col(text).isNull().alias("_missing")).select(
         key, *DETECTORS, F.when(F.col("_missing") | (found > 0), "block").otherwise("pass").alias("gate")
     )
+
+
+def package_gate(blocks: DataFrame, package: str, text: str, parsed: str) -> DataFrame:
+    """package, n_found, n_unparsed, decision: block on any finding, a missing text or a document that isn't parsed."""
+    found = sum((F.coalesce(F.regexp_count(F.col(text), F.lit(p)), F.lit(0)) for p in DETECTORS.values()), F.lit(0))
+    bad = F.col(text).isNull() | ~F.coalesce(F.col(parsed), F.lit(False))
+    out = blocks.groupBy(package).agg(F.sum(found.cast("long")).alias("n_found"), F.count_if(bad).alias("n_unparsed"))
+    return out.withColumn("decision", F.when((F.col("n_found") > 0) | (F.col("n_unparsed") > 0), "block").otherwise("allow"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.operators.audit import row_hash
+from docketry.operators.audit import fingerprint
 
 #: Words of findings about the parties, checks of a party by outside sources, and ranks of gravity.
 SUBJECT_WORDS = ("合同主体", "资信", "征信", "客商", "注册资本", "经营状况", "经营状态", "营业执照", "涉诉", "诉讼", "被执行", "失信", "合作历史")
@@ -28,8 +28,7 @@ def model_requests(rules: DataFrame, candidates: DataFrame, package: str) -> Dat
 
 def request_fingerprints(requests: DataFrame, package: str, columns: Sequence[str]) -> DataFrame:
     """package, rule_id, n_candidates, fingerprint: one request for each rule; sums of row hashes, so that order doesn't matter."""
-    part = F.conv(F.substring(row_hash(columns), 1, 12), 16, 10).cast("decimal(20,0)")
-    return requests.groupBy(package, "rule_id").agg(F.count("*").alias("n_candidates"), F.sum(part).cast("string").alias("fingerprint"))
+    return fingerprint(requests, columns, [package, "rule_id"]).withColumnRenamed("n", "n_candidates")
 
 
 def recombined(requests: DataFrame, items: DataFrame, package: str) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.text import stable_id, tokens
+from docketry.functions.text import stable_id, terms, tokens
 
 
 def top_k(hits: DataFrame, k: int, rank: str, by: str = "query_id") -> DataFrame:
@@ -17,24 +17,39 @@ def top_k(hits: DataFrame, k: int, rank: str, by: str = "query_id") -> DataFrame
     return hits.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
+#: Rows of (query, term) up to which they are broadcast to the texts; beyond, terms are shuffled.
+ASKED = 500_000
+
+
+def term_counts(docs: DataFrame, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
     """doc_id, term, tf, length of every term of every text."""
-    words = docs.select("doc_id", tokens(F.col("text")).alias("t"))
+    words = docs.select("doc_id", tokenizer(F.col("text")).alias("t"))
     return words.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score. Only terms that some query names leave the scan of the texts."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = asked.select("term").distinct()
-    words = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    size = words.agg(F.count("*").alias("n"), F.greatest(F.avg(F.size("t")), F.lit(1.0)).alias("mean"))
-    found = words.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
-    terms = found.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(size)).select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # size: one row
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, tokenizer: Callable[[Column], Column] = terms) -> DataFrame:
+    """query_id, doc_id, score, over one statistic for all texts.
+
+    Only terms that some query names leave the scan of the texts, and they are shuffled once, by document: counting,
+    weighing and adding up stay in that partition, as the queries' terms come by broadcast (up to ASKED rows).
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokenizer(F.col("text")))).alias("term"))
+    small = asked.count() <= ASKED
+    hint = F.broadcast if small else (lambda df: df)
+    words = docs.select("doc_id", tokenizer(F.col("text")).alias("t"))
+    named = hint(asked.select("term").distinct())
+    # one row without a term for each text carries its length
+    seen = words.select(F.size("t").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("term"))
+    seen = seen.join(hint(named.union(docs.sparkSession.range(1).select(F.lit("").alias("term")))), "term", "left_semi")
+    df = seen.groupBy("term").agg(F.count("*").alias("df"), F.avg("length").alias("mean"))
+    size = df.where("term = ''").select(F.col("df").alias("n"), F.greatest("mean", F.lit(1.0)).alias("mean"))
+    idf = df.where("term <> ''").drop("mean").join(F.broadcast(size))  # size: one row
+    idf = idf.select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weighed = asked.join(idf, "term")
+    found = words.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).join(named, "term", "left_semi")
+    counted = found.repartition("doc_id").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = terms.join(idf, "term").withColumn("part", part).join(asked, "term")
+    scored = counted.join(hint(weighed), "term").withColumn("part", part)
     return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 

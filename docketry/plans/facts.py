@@ -114,28 +114,32 @@ def term_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with i as (select l_orderkey as k, count(*) as n, cast(sum(cast(l_extendedprice as decimal(20,2))) as decimal(30,2)) as paid, cast(sum(cast(l_discount as decimal(26,6)) * 3) as decimal(38,6)) as ratio,
+    """with i as (select l_orderkey as k, cast(sum(cast(l_extendedprice as decimal(20,2))) as decimal(30,2)) as paid, cast(sum(cast(l_discount as decimal(26,6)) * 3) as decimal(38,6)) as ratio,
+  cast(sum(case when l_returnflag <> 'N' then cast(l_extendedprice as decimal(20,2)) end) as decimal(30,2)) as invoiced,
   case when min(l_tax) = max(l_tax) then cast(min(l_tax) as decimal(12,6)) end as rate, max(abs(cast(l_tax as decimal(26,6)) - 0.05)) as apart from lineitem group by 1),
 w as (select o_orderkey as k, cast(o_totalprice as decimal(20,2)) as amount, i.* exclude (k), case when o_orderkey % 2 = 0 then cast(o_totalprice as decimal(20,2)) else cast(1 as decimal(20,2)) end as upper,
-  round(cast(o_totalprice as decimal(20,2)) * cast(0.05 as decimal(12,6)), 2) as tax from orders left join i on o_orderkey = i.k)
+  o_orderkey % 3 = 0 as untaxed, round(cast(o_totalprice as decimal(20,2)) * cast(0.025 as decimal(12,6)), 2) * 2 as tax from orders left join i on o_orderkey = i.k)
 select k as o_orderkey, checker, status from (
   select k, 'amount_case' as checker, case when amount = upper then 'PASS' else 'WARN' end as status from w
   union all select k, 'tax_rate', case when apart is null then 'UNKNOWN' when apart <= 0.000000001 then 'PASS' else 'WARN' end from w
-  union all select k, 'tax_amount', case when rate is null then 'UNKNOWN' when tax = round(amount * rate, 2) then 'PASS' else 'WARN' end from w
+  union all select k, 'tax_amount', case when rate is null or not untaxed then 'UNKNOWN' when tax = round(amount * rate, 2) then 'PASS' else 'WARN' end from w
   union all select k, 'payment_total', case when paid is null then 'UNKNOWN' when paid = amount then 'PASS' else 'WARN' end from w
-  union all select k, 'invoice_total', 'UNKNOWN' from w
+  union all select k, 'invoice_total', case when invoiced is null then 'UNKNOWN' when invoiced = amount then 'PASS' else 'WARN' end from w
   union all select k, 'payment_ratio', case when ratio is null then 'UNKNOWN' when ratio <= 1.000001 then 'PASS' else 'WARN' end from w)"""
 )
 def money_check_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and their items as the financial facts of contracts."""
+    """Orders and their items as the financial facts of contracts; a third of them say that amounts are untaxed."""
     o, i = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     total = F.col("o_totalprice").cast("decimal(20,2)")
-    fact = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.cast("decimal(26,6)").alias("value"))
+    fact = lambda kind, v: F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), v.cast("decimal(26,6)").alias("value"))
     stated = F.array(
         fact("amount", total),
         fact("upper", F.when(F.col("o_orderkey") % 2 == 0, total).otherwise(F.lit(1))),
-        fact("tax", F.round(total * F.lit("0.05").cast("decimal(12,6)"), 2)),
+        fact("tax", F.round(total * F.lit("0.025").cast("decimal(12,6)"), 2)),
+        fact("tax", F.round(total * F.lit("0.025").cast("decimal(12,6)"), 2)),
+        fact(F.when(F.col("o_orderkey") % 3 == 0, "untaxed").otherwise("other"), F.lit(1)),
     )
-    parts = F.array(fact("payment", F.col("l_extendedprice").cast("decimal(20,2)")), fact("rate", F.col("l_tax")), fact("ratio", F.col("l_discount").cast("decimal(26,6)") * 3))
+    billed = F.when(F.col("l_returnflag") != "N", "invoice").otherwise("other")
+    parts = F.array(fact(billed, F.col("l_extendedprice").cast("decimal(20,2)")), fact("payment", F.col("l_extendedprice").cast("decimal(20,2)")), fact("rate", F.col("l_tax")), fact("ratio", F.col("l_discount").cast("decimal(26,6)") * 3))
     rows = o.select("o_orderkey", F.explode(stated).alias("f")).union(i.select("o_orderkey", F.explode(parts).alias("f")))
     return checks.money_checks(rows.select("o_orderkey", "f.*"), "o_orderkey", 0.05)

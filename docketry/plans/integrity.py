@@ -43,8 +43,9 @@ def provenance_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with h as (select source, sha256(concat_ws(chr(31), coalesce('=' || doc_id, '~'), coalesce('=' || text, '~'), coalesce('=' || lang, '~'))) as h from documents)
-select coalesce(source, '?') as source, cast(count(*) as bigint) as n, cast(sum(cast('0x' || substr(h, 1, 12) as bigint)) as varchar) as fingerprint from h group by source"""
+    """with h as (select source, sha256(coalesce(length(doc_id::varchar) || '=' || doc_id, '~') || coalesce(length(text) || '=' || text, '~') || coalesce(length(lang) || '=' || lang, '~')) as h from documents)
+select coalesce(source, '?') as source, cast(count(*) as bigint) as n,
+  cast(sum(cast('0x' || substr(h, 1, 13) as bigint)) as varchar) || '-' || cast(sum(cast('0x' || substr(h, 14, 13) as bigint)) as varchar) || '-' || cast(sum(cast('0x' || substr(h, 27, 13) as bigint)) as varchar) || '-' || cast(sum(cast('0x' || substr(h, 40, 13) as bigint)) as varchar) || '-' || cast(sum(cast('0x' || substr(h, 53, 13) as bigint)) as varchar) as fingerprint from h group by source"""
 )
 def source_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of the documents of each source, for equality between runs."""

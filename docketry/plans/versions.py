@@ -93,7 +93,7 @@ def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """with r as (select distinct l_orderkey, l_partkey from lineitem where l_returnflag <> 'A' and l_linestatus = 'O'),
 c as (select distinct l_orderkey, l_partkey, l_suppkey from lineitem where l_quantity > 10)
-select l_orderkey, l_partkey as rule_id, count(*)::bigint as n_candidates, cast(sum(cast('0x' || substr(sha256('=' || l_suppkey), 1, 12) as bigint)) as varchar) as fingerprint
+select l_orderkey, l_partkey as rule_id, count(*)::bigint as n_candidates, cast(sum(cast('0x' || substr(sha256(length(l_suppkey::varchar) || '=' || l_suppkey), 1, 13) as bigint)) as varchar) || '-' || cast(sum(cast('0x' || substr(sha256(length(l_suppkey::varchar) || '=' || l_suppkey), 14, 13) as bigint)) as varchar) || '-' || cast(sum(cast('0x' || substr(sha256(length(l_suppkey::varchar) || '=' || l_suppkey), 27, 13) as bigint)) as varchar) || '-' || cast(sum(cast('0x' || substr(sha256(length(l_suppkey::varchar) || '=' || l_suppkey), 40, 13) as bigint)) as varchar) || '-' || cast(sum(cast('0x' || substr(sha256(length(l_suppkey::varchar) || '=' || l_suppkey), 53, 13) as bigint)) as varchar) as fingerprint
 from r join c using (l_orderkey, l_partkey) group by all"""
 )
 def request_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,16 +28,36 @@ def test_terms(spark):
         ("payment", "付款条款：合同签订后100%预付，乙方按项目计划完成实施。", "BLOCK"),
         ("payment", "验收合格后十日内支付。", "PASS"),
         ("payment", "按月结算。", "WARN"),
-        ("renewal", "本合同到期不自动续约。", "PASS"),
-        ("renewal", "到期自动续约。", "WARN"),
+        ("payment", "验收的标准另定。按月支付。", "WARN"),
+        ("renewal", "本合同到期不自动续期。", "PASS"),
+        ("renewal", "到期终止。", "PASS"),
+        ("renewal", "到期自动续期。", "WARN"),
         ("acceptance", "逾期未提出异议视为验收合格。", "BLOCK"),
-        ("breach", "违约方应支付违约金。", "PASS"),
-        ("breach", " ", "UNKNOWN"),
+        ("acceptance", "逾期视为验收。", "WARN"),
+        ("acceptance", "按测试报告验收。", "PASS"),
+        ("termination", "逾期的，提前通知后解除。", "PASS"),
+        ("breach", "违约方应支付违约金。", "WARN"),
+        ("breach", "违约方赔偿损失，上限为合同金额。", "PASS"),
+        ("breach", "乙方免责。", "BLOCK"),
     ]
-    for term, text, want in cases:
-        rules, otherwise = checks.TERMS[term]
-        assert spark.range(1).select(checks.term_status(F.lit(text), rules, otherwise)).first()[0] == want, text
-    assert spark.range(1).select(checks.term_status(F.lit(None).cast("string"), *checks.TERMS["payment"])).first()[0] == "UNKNOWN"
+    rows = spark.createDataFrame([(i, k, t) for i, (k, t, _) in enumerate(cases)], "i int, k string, t string")
+    got = {r.i: r.s for r in rows.select("i", checks.term_text_status(F.col("k"), F.col("t")).alias("s")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, _, want in cases]
+    packages = spark.createDataFrame([(1, True, "BLOCK"), (2, False, "BLOCK")], "p int, all_parsed boolean, policy string")
+    facts_of = spark.createDataFrame([(1, "payment", "按月结算"), (1, "payment", "验收合格后支付")], "p int, term string, value string")
+    out = checks.contract_terms(packages, facts_of, ["payment", "breach"], "p")
+    assert {(r.p, r.term): (r.status, r.reason) for r in out.collect()} == {
+        (1, "payment"): ("PASS", "stated"), (1, "breach"): ("BLOCK", "missing"), (2, "payment"): ("UNKNOWN", "unparsed"), (2, "breach"): ("UNKNOWN", "unparsed"),
+    }
+
+
+def test_tax_amount(spark):
+    """The contract amount is the base only where the text says that it is untaxed; several taxes add up."""
+    rows = [(1, "amount", 100), (1, "tax", 6), (1, "tax", 7), (1, "untaxed", 1), (2, "amount", 100), (2, "tax", 13), (3, "base", 100), (3, "amount", 113), (3, "tax", 13)]
+    rows += [(k, "rate", 0.13) for k in (1, 2, 3)]
+    found = spark.createDataFrame([(k, kind, float(v)) for k, kind, v in rows], "k int, kind string, value double").withColumn("value", F.col("value").cast("decimal(26,6)"))
+    out = checks.money_checks(found, "k", 0.13).where("checker = 'tax_amount'")
+    assert {r.k: r.status for r in out.collect()} == {1: "PASS", 2: "UNKNOWN", 3: "PASS"}
 
 
 def test_form(spark):
@@ -76,8 +96,8 @@ def test_merged_candidates(spark):
 
 
 def test_definitions_and_questions(spark):
-    rows = spark.createDataFrame([("d", "c1", "“工作日”指法定工作日，“工作日”是指同上"), ("d", "c2", 'A "Day" means 24 hours')], "document string, clause string, text string")
-    assert sorted((r.src, r.term) for r in structure.definitions(rows).collect()) == [("c1", "工作日"), ("c2", "Day")]
+    rows = spark.createDataFrame([("d", "c1", "“工作日”指法定工作日，“工作日”是指同上"), ("d", "c2", '某公司（以下简称“甲方 ”）及本合同所称「源代码」')], "document string, clause string, text string")
+    assert sorted((r.src, r.term) for r in structure.definitions(rows).collect()) == [("c1", "工作日"), ("c2", "源代码"), ("c2", "甲方")]
     f = spark.createDataFrame([("r1", "PASS", "e1"), ("r2", "UNKNOWN", "m1"), ("r3", "UNKNOWN", "e1"), ("r4", "WARN", "e1")], "rule_id string, status string, evidence_id string")
     out = structure.question_outcomes(f, spark.createDataFrame([("m1",)], "evidence_id string"))
     assert {r.rule_id: r.outcome for r in out.collect()} == {"r1": "SUPPORTED", "r2": "NOT_MENTIONED", "r3": "UNKNOWN", "r4": "CONTRADICTED"}

@@ -45,10 +45,19 @@ def test_three_valued_order(spark):
 
 
 def test_personal_data(spark):
-    docs = spark.createDataFrame([(1, "call 13800138000 or a.b@c.de, id 11010519491231002X"), (2, "clean"), (3, None)], "i int, text string")
+    texts = [
+        "call 13800138000 or a.b@c.de, id 11010519491231002X", "clean", None, "13800138000,13900139000", "账号：6222 0200 1234 5678 901",
+        "统一社会信用代码：91110000ABCDEF1234", "1138001380001 110105194912310021234",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "i int, text string")
     got = {r.i: r for r in corpus.personal_data(docs, "i").collect()}
-    assert (got[1].mobile, got[1].email, got[1].national_id, got[1].gate) == (1, 1, 1, "block")
+    assert (got[1].mainland_mobile, got[1].email, got[1].mainland_id, got[1].gate) == (1, 1, 1, "block")
     assert got[2].gate == "pass" and got[3].gate == "block"
+    assert got[4].mainland_mobile == 2 and got[5].bank_account == 1 and got[6].unified_social_credit_code == 1
+    assert got[7].gate == "pass" and {got[i].gate for i in (4, 5, 6)} == {"block"}
+    packages = docs.selectExpr("case when i in (2, 7) then 'clean' else 'other' end as p", "text", "i <> 7 as parsed")
+    gate = {r.p: (r.n_found > 0, r.n_unparsed, r.decision) for r in corpus.package_gate(packages, "p", "text", "parsed").collect()}
+    assert gate == {"clean": (False, 1, "block"), "other": (True, 1, "block")}
 
 
 def test_total_check(spark):

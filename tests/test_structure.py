@@ -22,7 +22,10 @@ def test_edges(spark):
 def test_obligations(spark):
     got = sorted(structure.obligations(clauses(spark)).where("clause = 'c4'").collect(), key=lambda r: r.begins)
     assert [(r.subject, r.modality) for r in got] == [("乙方", "required"), ("甲方", "prohibited")]
-    assert got[0].deadline == "在验收后十个工作日内" and got[0].confidence == 0.9
+    assert got[0].deadline == "在验收后十个工作日内" and (got[0].confidence, got[1].confidence) == (0.8, 0.9)
+    more = spark.createDataFrame([("d", "c", None, "乙方提供源代码。客户应付款项。采购人有义务验收货物。须遵守保密。应付款项")], "document string, clause string, number string, text string")
+    got = [(r.subject, r.action, r.confidence) for r in structure.obligations(more).orderBy("begins").collect()]
+    assert got == [("乙方", "源代码", 0.7), ("客户", "付款项", 0.8), ("采购人", "验收货物", 0.9), (None, "遵守保密", 0.8)]
 
 
 def test_changes(spark):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docketry.functions.text import DETECTORS, clause_number, clause_title, is_heading, stable_id
 from docketry.operators import checks, corpus, elements, evidence, execution, facts, search, structure
 from docketry.plans.base import query, table
+from docketry.sources.shared import cut
 
 K, TOTAL = "o_orderkey", "cast(o_totalprice as decimal(20,2))"
 TAX = f"cast(round({TOTAL} * cast(0.13 as decimal(4,2)), 2) as decimal(20,2))"
@@ -59,7 +60,9 @@ C = B + ", c as (select *, document_id || '-' || cast(block_order as string) as
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """package_id, document_id, document_kind, parsed, page_number, block_order, block_type, is_heading, content, chunk_id."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    # an order's row becomes twenty blocks of text, so the narrow rows are spread first, by package
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice").repartition(parts, "o_orderkey")
     rows = [f"named_struct('d', '{d}', 'o', {o}, 't', '{t}', 'h', {str(h).lower()}, 's', {s})" for d, o, t, h, s in BLOCKS]
     out = orders.selectExpr("*", f"explode(array({', '.join(rows)})) as x").selectExpr("*", "x.d as d").where(f"d = 'c' or {HAS_ANNEX}")
     return out.selectExpr(
@@ -297,7 +300,7 @@ def contract_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     figures = block_facts(spark, sf_dir).select(package, "kind", F.col("value").cast("decimal(26,6)").alias("value"))
     untaxed = b.where(F.contains("content", F.lit("不含税"))).select("package_id", F.lit("untaxed").alias("kind"), F.lit(1).cast("decimal(26,6)").alias("value"))
     money = checks.money_checks(figures.union(untaxed), "package_id", 0.13)
-    kinds = elements.element_facts(b, ["package_id", "chunk_id"], "content").where("field = 'invoice_type'").select("package_id", F.lit("invoice_type").alias("kind"))
+    kinds = elements.element_facts(b, ["package_id", "chunk_id"], "content", fields=["invoice_type"]).select("package_id", F.lit("invoice_type").alias("kind"))
     return money.union(checks.wording_checks(b, kinds, b, "package_id"))
 
 
@@ -367,19 +370,19 @@ def contract_term_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_hits(spark: SparkSession, sf_dir: str, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chunks with clauses, queries of rules in packages, and the best k hits of each."""
     asked = search.rule_queries(rules(spark))
-    bound, _ = evidence.bind_clauses(chunks(spark, sf_dir), clauses(spark, sf_dir), KEY)
     packages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("package_id"))
-    own = rule_table(spark).withColumn("clause_ids", F.array().cast("array<string>"))
-    names = ["package_id", "document_id", "document_kind", "chunk_id", "source_kind", "rule_id", "content", "evidence_ids", "clause_ids"]
-    contract = bound.withColumn("rule_id", F.lit(None).cast("string")).select(names)
+    own = rule_table(spark)
+    names = ["package_id", "document_id", "document_kind", "chunk_id", "source_kind", "rule_id", "content", "evidence_ids"]
+    contract = chunks(spark, sf_dir).withColumn("rule_id", F.lit(None).cast("string")).select(names)
     ruled = packages.join(F.broadcast(own)).withColumns({n: F.lit(None).cast("string") for n in ("document_id", "document_kind")}).select(names)  # a fixed few rules
     queries = packages.join(F.broadcast(asked))  # the same few rules
     filters = queries.select(
         "package_id", "query_id", F.array(F.lit("contract"), F.lit("rule")).alias("source_kinds"), F.array("rule_id").alias("rule_ids"),
         F.when(F.col("rule_id") == "payment", F.array(F.lit("main_contract"))).alias("document_kinds"),
     )
-    pairs = search.filtered(search.prepared(contract.unionByName(ruled)), filters, ["package_id"])
-    hits = search.search(pairs, queries, ["package_id"], k)
+    ready = search.prepared(contract).unionByName(packages.join(F.broadcast(search.prepared(own))).withColumns({n: F.lit(None).cast("string") for n in ("document_id", "document_kind")}), allowMissingColumns=True)  # a fixed few rules
+    pairs = search.filtered(ready, filters, ["package_id"])
+    hits = cut(search.search(pairs, queries, ["package_id"], k))
     return contract.unionByName(ruled), queries, hits.join(queries.select("package_id", "query_id", "rule_id"), ["package_id", "query_id"])
 
 
@@ -388,5 +391,185 @@ def rule_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     c, queries, hits = rule_hits(spark, sf_dir)
     cited = hits.join(c.select("package_id", "chunk_id", "evidence_ids"), ["package_id", "chunk_id"])
     good, _ = evidence.build_candidates(cited, c.select("package_id", "chunk_id", "evidence_ids", "content", "source_kind"), ["package_id"])
-    good = evidence.candidates_by_rule(good, ["package_id"])
+    good = cut(evidence.candidates_by_rule(good, ["package_id"]))
     return good, evidence.assess_candidates(good, queries.drop("rule_id"), ["package_id"], search.found_terms), queries
+
+
+TERM_SQL = r"[0-9][0-9,]*(?:\.[0-9]+)?%?|[a-z][a-z0-9]*(?:[._/-][a-z0-9]+)*|[\x{4e00}-\x{9fff}]+"
+tokens_sql = lambda x: (
+    f"flatten(list_transform(regexp_extract_all(lower({x}), '{TERM_SQL}'), lambda w: case when regexp_matches(w, '^[0-9]') then case when contains(w, ',') then [w, replace(w, ',', '')] else [w] end "
+    "when regexp_matches(w, '^[a-z]') then [w] else list_concat(list_transform(range(1, length(w)), lambda i: substr(w, i, 2)), list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))) end))"
+)
+#: What each rule asks, written out: its text, its expressions in all spellings, its anchors with their spellings.
+ASKED = {
+    "amount": (
+        "合同金额；financial.contract_amount_numeric；金额；价款；小写", "合同金额 合同价款 financial.contract_amount_numeric 金额 价款 小写",
+        [["合同金额", "合同价款"], ["financial.contract_amount_numeric"], ["金额", "价款"], ["价款", "金额"], ["小写"]], [["合同金额", "合同价款"], ["金额", "价款"], ["价款", "金额"], ["小写"]],
+    ),
+    "payment": (
+        "付款条件；付款须与验收绑定；contract_term:payment；付款；支付；结算；预付款；尾款；验收合格后",
+        "付款条件 付款条款 支付条件 支付条款 付款须与验收绑定 支付须与验收绑定 contract_term payment 付款 支付 结算 预付款 预支付 尾款 验收合格后",
+        [["付款条件", "付款条款", "支付条件", "支付条款"], ["付款", "支付"], ["contract_term:payment"], ["支付", "付款"], ["结算"], ["预付款", "预支付"], ["尾款"]],
+        [["付款", "支付"], ["支付", "付款"], ["结算"], ["预付款", "预支付"], ["尾款"]],
+    ),
+    "acceptance": (
+        "验收标准；contract_term:acceptance；验收；验收方法", "验收标准 验收要求 contract_term acceptance 验收 验收方法 验收方式",
+        [["验收标准", "验收要求"], ["contract_term:acceptance"], ["验收"], ["验收方法", "验收方式"]], [["验收"], ["验收标准", "验收要求"], ["验收方法", "验收方式"]],
+    ),
+    "breach": ("违约责任", "违约责任", [["违约责任"]], []),
+}
+PURPOSE = {r[0]: "playbook_position" if r[8] else "rule_review" for r in RULES}
+_list = lambda v: "[" + ", ".join(_list(x) if isinstance(x, list) else f"'{x}'" for x in v) + "]"
+Q = "q as (" + " union all ".join(
+    f"select '{r}' as rule_id, 'query-' || substr(sha256(concat_ws(chr(31), '{r}', '{VERSIONS[r]}', '{t}')), 1, 20) as query_id, '{PURPOSE[r]}' as purpose, '{t}' as text, "
+    f"list_distinct({tokens_sql(chr(39) + asked + chr(39))}) as terms, {_list(exact)}::varchar[][] as exact, {_list(required)}::varchar[][] as required"
+    for r, (t, asked, exact, required) in ASKED.items()
+) + ")"
+HITS = f"""{G}, {Q}, ch as (
+  select package_id, document_kind, chunk_id, 'contract' as source_kind, null as rule_id, content, evidence_id from c
+  union all select o_orderkey, null, chunk_id, 'rule', rule_id, content, evidence_id from orders, ({RULE_SQL})),
+t as (select *, lower(content) as low, regexp_replace(lower(content), '\\s', '', 'g') as folded, {tokens_sql('content')} as t from ch),
+p as (select t.* exclude (rule_id), q.rule_id, q.query_id, q.text, terms, len(t) as length, list_filter(exact, lambda a: len(list_filter(a, lambda s: contains(folded, s))) > 0) as ex,
+    list_filter(required, lambda a: len(list_filter(a, lambda s: contains(folded, s))) > 0) as rq, contains(low, q.text) as whole
+  from t join q on t.rule_id is null or t.rule_id = q.rule_id where source_kind = 'rule' or q.rule_id <> 'payment' or document_kind = 'main_contract'),
+s as (select package_id, rule_id, count(*) as n, greatest(avg(length), 1) as mean from p group by all),
+tf as (select package_id, rule_id, chunk_id, term, count(*) as tf from (select package_id, rule_id, chunk_id, terms, unnest(t) as term from p) where list_contains(terms, term) group by all),
+df as (select package_id, rule_id, term, count(*) as df from tf group by all),
+bm as (select tf.package_id, tf.rule_id, tf.chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) as bm
+  from tf join df using (package_id, rule_id, term) join s using (package_id, rule_id) join p using (package_id, rule_id, chunk_id) group by all),
+sc as (select p.*, round(coalesce(bm, 0) + whole::int + len(ex) + 10 * len(rq), 6) as score, source_kind = 'rule' as free, whole or len(list_filter(ex, lambda a: length(a[1]) >= 3)) > 0 as safe
+  from p left join bm using (package_id, rule_id, chunk_id)),
+g1 as (select *, max(case when not free then score end) over (partition by package_id, rule_id) as best from sc where score > 0 and (free or safe or score >= 4)),
+hits as (select * from (select *, row_number() over (partition by package_id, rule_id order by score desc, chunk_id) as lexical_rank from g1 where free or safe or score >= 0.55 * best) where lexical_rank <= 5),
+cand as (select *, 'candidate-' || substr(sha256(concat_ws(chr(31), package_id, query_id, chunk_id)), 1, 20) as candidate_id,
+  case when source_kind = 'rule' then 'REJECT' when case when rule_id = 'breach' then len(ex) > 0 else len(rq) > 0 end then 'ACCEPT' else 'INSUFFICIENT' end as outcome from hits)"""
+
+
+@query(
+    f"""with {Q} select o_orderkey as package_id, rule_id, query_id, purpose, text, cast(len(terms) as int) as n_terms, cast(len(exact) as int) as n_exact, cast(len(required) as int) as n_required from orders, q"""
+)
+def rule_query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query of each rule in each package: what its title, facts, checker and playbook ask for."""
+    asked = search.rule_queries(rules(spark))
+    packages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("package_id"))
+    return packages.join(F.broadcast(asked)).select("package_id", "rule_id", "query_id", "purpose", "text", *[F.size(c).alias(f"n_{c}") for c in ("terms", "exact", "required")])  # a fixed few rules
+
+
+@query(f"with {HITS} select package_id, rule_id, chunk_id, score, cast(lexical_rank as int) as lexical_rank from hits")
+def rule_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of a package for each rule: statistics of what its filter leaves, boosts, gates, best five."""
+    _, _, hits = rule_hits(spark, sf_dir)
+    return hits.select("package_id", "rule_id", "chunk_id", "score", "lexical_rank")
+
+
+@query(f"with {HITS} select package_id, candidate_id, rule_id, chunk_id, cast(lexical_rank as int) as rank, cast(len(ex) as int) as n_exact, cast(len(rq) as int) as n_required, outcome from cand")
+def candidate_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the hits and whether their anchors make them evidence."""
+    _, judged, _ = rule_candidates(spark, sf_dir)
+    return judged.select("package_id", "candidate_id", "rule_id", "chunk_id", "rank", F.size("matched_exact").alias("n_exact"), F.size("matched_required").alias("n_required"), "outcome")
+
+
+@query(
+    f"""with {HITS} select cand.package_id, rule_id, count(*) as n_accepted, string_agg(distinct cand.evidence_id, ',' order by cand.evidence_id) as evidence_ids,
+  string_agg(distinct cl.clause_id, ',' order by cl.clause_id) as clause_ids from cand join g using (chunk_id) join cl on g.document_id = cl.document_id and g.first = cl.first where outcome = 'ACCEPT' group by all"""
+)
+def accepted_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule may cite: evidence and clauses of its accepted candidates."""
+    good, judged, _ = rule_candidates(spark, sf_dir)
+    taken, _ = evidence.accepted(good, judged, ["package_id"])
+    bound, _ = evidence.bind_clauses(chunks(spark, sf_dir), clauses(spark, sf_dir), KEY)
+    taken = taken.join(bound.select("package_id", "chunk_id", "clause_ids"), ["package_id", "chunk_id"])
+    n = taken.groupBy("package_id", "rule_id").agg(F.count("*").alias("n_accepted"))
+    sets = evidence.candidate_sets(taken, ["package_id"]).withColumns({c: F.array_join(c, ",") for c in ("evidence_ids", "clause_ids")})
+    return n.join(sets, ["package_id", "rule_id"])
+
+
+@query(
+    f"""with {HITS} select package_id, candidate_id, case when outcome = 'INSUFFICIENT' and package_id % 3 <> 0 then 'ACCEPT' else outcome end as outcome,
+  case when outcome = 'INSUFFICIENT' and package_id % 3 <> 0 then 'semantic' else 'deterministic' end as assessed_by
+from (select * replace (case when outcome = 'ACCEPT' and lexical_rank > 1 then 'INSUFFICIENT' else outcome end as outcome) from cand)"""
+)
+def promoted_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model items cite every contract candidate; those not accepted become semantic evidence where the item is decided."""
+    _, judged, _ = rule_candidates(spark, sf_dir)
+    weaker = judged.withColumn("outcome", F.when((F.col("outcome") == "ACCEPT") & (F.col("rank") > 1), "INSUFFICIENT").otherwise(F.col("outcome")))
+    status = F.when(F.col("package_id") % 3 == 0, "UNKNOWN").otherwise("WARN").alias("status")
+    items = judged.select("package_id", "rule_id", status, "evidence_ids")
+    return evidence.promote(weaker, items, ["package_id"]).select("package_id", "candidate_id", "outcome", "assessed_by")
+
+
+LABELS = ["合同编号", "甲方", "乙方"]
+
+
+@query(
+    f"""with {C} select package_id, count(*) as n_hits, bool_and(contains(content, '甲方') or contains(content, '乙方') or contains(content, '合同') or contains(content, '编号')) as labelled
+from c where regexp_matches(content, '甲方|乙方|合同|同编|编号') group by package_id"""
+)
+def element_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks where the labels of elements stand; neither gate applies to this query, only its 40 places."""
+    c = chunks(spark, sf_dir)
+    asked = search.location_query(c, "package_id", LABELS)
+    filters = asked.select("package_id", "query_id", F.array(F.lit("contract")).alias("source_kinds"))
+    found = search.search(search.filtered(search.prepared(c.withColumn("rule_id", F.lit(None).cast("string"))), filters, ["package_id"]), asked, ["package_id"], 40)
+    says = found.join(c.select("package_id", "chunk_id", "content"), ["package_id", "chunk_id"])
+    return says.groupBy("package_id").agg(F.count("*").alias("n_hits"), F.bool_and(F.col("content").rlike("甲方|乙方|合同|编号")).alias("labelled"))
+
+
+# ---- applicability and findings -----------------------------------------------------------------
+
+
+@query(
+    f"""with {HITS}, a as (select {K} as package_id, {HAS_ANNEX} as annex, {K} % 17 = 0 and {HAS_ANNEX} as open, {K} % 11 = 0 and {HAS_ANNEX} as strange from orders),
+r as (select a.*, rule_id, case rule_id when 'breach' then case when package_id % 10 = 0 then 'not_applicable' else 'required' end
+    when 'acceptance' then case when strange then 'unknown' else 'required' end else 'required' end as applies from a, (values ('amount'), ('payment'), ('acceptance'), ('breach')) as v(rule_id)),
+n as (select package_id, rule_id, count(*) as n from cand where outcome = 'ACCEPT' group by all),
+f as (select r.*, coalesce(n, 0) as n, case when rule_id = 'amount' then case when annex and package_id % 5 = 0 then 'UNKNOWN' when {TOTAL} = (package_id % 9 + 1) * 1000000 then 'PASS' else 'WARN' end end as checker,
+    case when rule_id = 'breach' then case when open then 'UNKNOWN' when coalesce(n, 0) > 0 then 'WARN' else 'UNKNOWN' end end as keyword,
+    case when rule_id = 'payment' then case package_id % 4 when 0 then 'PASS' else 'UNKNOWN' end end as playbook
+  from r left join n using (package_id, rule_id) join orders on package_id = {K})
+select package_id, rule_id, case when applies = 'not_applicable' then 'NOT_APPLICABLE' when applies = 'unknown' then 'UNKNOWN' else coalesce(playbook, checker, keyword, 'UNKNOWN') end as status,
+  case when applies = 'not_applicable' then 'not_applicable' when applies = 'unknown' then 'applicability' when playbook is not null then 'playbook' when checker is not null then 'checker' when keyword is not null then 'keyword' else 'default' end as branch,
+  (case when applies = 'not_applicable' then 1 else 2 + n end)::int as n_cited from f"""
+)
+def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From chunks to findings: applicability, playbook, checker and keyword branches in order, each with what it cites."""
+    from docketry.operators import applicability
+
+    b = blocks(spark, sf_dir)
+    kinds = b.groupBy("package_id").agg(F.bool_and("parsed").alias("all_parsed"), F.array_sort(F.collect_set("document_kind")).alias("kinds"))
+    context = F.struct(
+        F.lit("buyer").alias("party"), F.lit("CN").alias("place"), F.array(F.lit("software")).alias("tags"), (F.col("package_id") % 10).cast("double").alias("amount"), "kinds"
+    )
+    contexts = kinds.select("package_id", F.lit("software").alias("contract_type"), F.array().cast("array<string>").alias("review_scope"), context.alias("context"))
+    none, some = F.array().cast("array<string>"), lambda *v: F.array(*map(F.lit, v))
+    cond = lambda low=None, high=None, kinds_any=None: F.struct(
+        none.alias("parties"), none.alias("places"), none.alias("tags"), F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high"), none.alias("kinds"),
+        (some(*kinds_any) if kinds_any else none).alias("kinds_any"),
+    )
+    no = F.array().cast("array<struct<condition:struct<parties:array<string>,places:array<string>,tags:array<string>,low:double,high:double,kinds:array<string>,kinds_any:array<string>>,result:string>>")
+    full = "软件开发/转让服务"
+    one = lambda rule, base, exceptions: F.struct(F.lit(rule).alias("rule_id"), F.lit(full).alias("contract_type"), F.lit("required").alias("applicability"), F.lit("x").alias("expected_value"), base.alias("condition"), exceptions.alias("exceptions"))
+    strange = F.array(F.struct(F.struct(none.alias("parties"), none.alias("places"), none.alias("tags"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), some("main_contract", "annex").alias("kinds"), none.alias("kinds_any")).alias("condition"), F.lit("recommended").alias("result")))
+    specs = spark.range(1).select(F.explode(F.array(one("acceptance", cond(kinds_any=["main_contract"]), strange), one("breach", cond(low=1.0), no))).alias("s")).select("s.*")
+    asked = rules(spark).withColumn("applies_to", some(full))
+    applies = applicability.rules_of_contexts(asked, specs, contexts, "package_id").select("package_id", "rule_id", "applies")
+
+    good, judged, _ = rule_candidates(spark, sf_dir)
+    taken = cut(evidence.accepted(good, judged, ["package_id"])[0])
+    cited = taken.groupBy("package_id", "rule_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids"))
+    figures = block_facts(spark, sf_dir).join(taken.select("package_id", "candidate_id", "chunk_id").distinct(), "chunk_id")
+    own = execution.facts_of_rules(figures.select("package_id", "candidate_id", "kind", F.col("value").cast("decimal(26,6)").alias("value"), F.lit(1.0).alias("confidence")), taken, "package_id")
+
+    def amount_case(found: DataFrame, packages: DataFrame, key: str) -> DataFrame:
+        money = checks.money_checks(found.select(key, "kind", "value").distinct(), key, 0.13).where("checker = 'amount_case'")
+        return money.join(found.groupBy(key).agg(F.min("confidence").alias("confidence")), key).select(key, "status", "confidence")
+
+    checked = execution.run_checkers(own, kinds, asked, {"amount_case": amount_case}, "package_id").withColumnRenamed("status", "checker")
+    words = spark.range(1).select(F.lit("breach").alias("rule_id"), F.lit("违约").alias("keyword"))
+    keyword = execution.keyword_status(taken, kinds, words, "package_id").withColumnRenamed("status", "keyword")
+    bound = taken.where("rule_id = 'payment'").groupBy("package_id").agg(F.bool_or(F.contains("content", F.lit("验收合格后"))).alias("met"))
+    playbook = kinds.select("package_id").join(bound, "package_id", "left").select("package_id", F.lit("payment").alias("rule_id"), F.when(F.col("met"), "PASS").otherwise("UNKNOWN").alias("playbook"))
+    rows = applies.join(checked, ["package_id", "rule_id"], "left").join(keyword, ["package_id", "rule_id"], "left").join(playbook, ["package_id", "rule_id"], "left").join(cited, ["package_id", "rule_id"], "left")
+    rows = rows.withColumns({n: F.lit(None).cast("string") for n in ("classification", "visual")} | {"rule_evidence": F.concat(F.lit("rule-"), "rule_id"), "package_evidence": F.concat(F.lit("package-"), "package_id")})
+    out = execution.findings(rows, "package_id")
+    return out.select("package_id", "rule_id", "status", "branch", F.size("evidence_ids").alias("n_cited"))

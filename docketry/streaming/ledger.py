@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
@@ -14,17 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from docketry.sources.shared import shared_folder
+
 
 #: Files that one micro-batch takes up at most.
 FILES_PER_TRIGGER = 64
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only a local session may do without that setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{root or tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share."""
+    return f"{shared_folder(spark, 'stream')}/stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, path: str, files: int = FILES_PER_TRIGGER) -> DataFrame:

@@ -26,7 +26,8 @@ def test_two_values_are_unknown(spark):
 def test_terms(spark):
     cases = [
         ("payment", "付款条款：合同签订后100%预付，乙方按项目计划完成实施。", "BLOCK"),
-        ("payment", "验收合格后十日内支付。", "PASS"),
+        ("payment", "验收合格后支付。", "PASS"),
+        ("payment", "验收合格后十日内支付。", "WARN"),
         ("payment", "按月结算。", "WARN"),
         ("payment", "验收的标准另定。按月支付。", "WARN"),
         ("renewal", "本合同到期不自动续期。", "PASS"),

@@ -573,3 +573,38 @@ def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumns({n: F.lit(None).cast("string") for n in ("classification", "visual")} | {"rule_evidence": F.concat(F.lit("rule-"), "rule_id"), "package_evidence": F.concat(F.lit("package-"), "package_id")})
     out = execution.findings(rows, "package_id")
     return out.select("package_id", "rule_id", "status", "branch", F.size("evidence_ids").alias("n_cited"))
+
+
+@query(
+    f"""with {G}, {FACTS} select f.package_id, g.chunk_id || '/' || f.kind as fact_id, cl.clause_id from f join g on g.package_id = f.package_id and g.d = f.d and g.block_order = f.block_order
+  join cl on cl.document_id = g.document_id and cl.first = g.first"""
+)
+def fact_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clause of each figure: by its evidence, for taxes by their block, for shares by the excerpt."""
+    c = chunks(spark, sf_dir).select(*KEY, "chunk_id", "block_order", "content", F.element_at("evidence_ids", 1).alias("evidence_id"))
+    found = block_facts(spark, sf_dir).join(c, "chunk_id")
+    n = F.col("block_order")
+    rows = found.select(
+        *KEY, F.concat_ws("/", "chunk_id", "kind").alias("fact_id"), F.when(n.isin(6, 8), "ev-none").otherwise(F.col("evidence_id")).alias("evidence_id"),
+        F.when(n == 6, F.col("chunk_id")).alias("block_id"), F.when(n == 8, F.col("content")).alias("excerpt"),
+    ).distinct()
+    rows, own = cut(rows), cut(clauses(spark, sf_dir))
+    cited = own.select("clause_id", F.explode("chunk_ids").alias("chunk_id")).join(c.select("chunk_id", "evidence_id"), "chunk_id").groupBy("clause_id").agg(F.collect_set("evidence_id").alias("evidence_ids"))
+    out = evidence.fact_clauses(rows, own.join(cited, "clause_id"), ["package_id"])
+    return out.select("package_id", "fact_id", F.explode("clause_ids").alias("clause_id"))
+
+
+@query(
+    f"""select package_id, rule_id, case when takes then model else base end as status, case when takes then 'model' when model is not null and not passed then 'degraded' when not any_item then 'rule' when passed then 'rule' else 'degraded' end as origin from (
+  select *, any_item and passed and model is not null and not missing as takes from (
+    select {K} as package_id, rule_id, case when o_totalprice > 150000 then 'WARN' else 'UNKNOWN' end as base, case when {K} % 3 = 0 and rule_id <> 'breach' then 'PASS' end as model, {K} % 3 = 0 as any_item, {K} % 2 = 0 as passed,
+      rule_id = 'payment' and {K} % 4 = 0 as missing from orders, (values ('amount'), ('payment'), ('breach')) as v(rule_id)))"""
+)
+def model_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of three rules of each package under those of a model, whose response failed its gate for odd packages."""
+    names = F.explode(F.array(*map(F.lit, ("amount", "payment", "breach")))).alias("rule_id")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("package_id"), "o_totalprice", names)
+    k = F.col("package_id")
+    base = rows.select("package_id", "rule_id", F.when(F.col("o_totalprice") > 150_000, "WARN").otherwise("UNKNOWN").alias("status"), ((F.col("rule_id") == "payment") & (k % 4 == 0)).alias("missing_attachment"))
+    model = rows.where((k % 3 == 0) & (F.col("rule_id") != "breach")).select("package_id", "rule_id", F.lit("PASS").alias("status"), (k % 2 == 0).alias("passed"))
+    return execution.overridden(base, model, "package_id")

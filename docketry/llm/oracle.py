@@ -120,5 +120,59 @@ from t group by conv_id
 """
 
 
+OP11 = r"""
+with recursive tab as (
+  select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) order by i) as t
+  from range(256) r(i)),
+runs as (
+  select id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as c
+  from (select coalesce(cast(doc_id as varchar), '') as id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]{6,}')) as x from documents)
+  group by all),
+bytes as (select run, c, hex(encode(id || ':' || run)) as h from runs),
+crc as (
+  select run, c, xor(4294967295, list_reduce([cast('0x' || substr(h, 2 * i + 1, 2) as bigint) for i in range(length(h) // 2)],
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), cast(4294967295 as bigint))) as h
+  from bytes, tab),
+made as (
+  select case when h % 199 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, c from crc),
+w as (select word, cast(sum(c) as bigint) as n from made where length(word) >= 6 group by word having sum(c) >= 5),
+cuts as (select word, n, i, left(word, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from w)),
+longer as (select distinct c.word as long, c.n as long_n, w.word as short, w.n as short_n from cuts c join w on w.word = c.rest),
+near as (
+  select a.word, b.word as other, b.n as m from cuts a join cuts b on a.rest = b.rest and a.i = b.i and length(a.word) = length(b.word) and a.word <> b.word
+  union all select long, short, short_n from longer
+  union all select short, long, long_n from longer),
+best as (select word, count(*) as n_near, max(m) as m from near group by word),
+form as (select b.word, b.n_near, b.m, min(other) as other from best b join near x on x.word = b.word and x.m = b.m group by all),
+rated as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when m >= 5 * w.n then other end as form, case when m >= 5 * w.n then m end as form_n from w left join form using (word)),
+chain as (
+  select word, form as at, 1 as steps from rated where form is not null
+  union all select c.word, r.form, steps + 1 from chain c join rated r on r.word = c.at where r.form is not null)
+select r.word, r.form, coalesce(max_by(c.at, c.steps), r.word) as root, r.n, r.n_near, r.form_n
+from rated r left join chain c using (word) group by r.word, r.form, r.n, r.n_near, r.form_n
+"""
+
+OP12 = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+ws as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, cast(sum(len(w)) as bigint) as n from ws group by lang),
+grams as (select lang, k, unnest([w[i : i + k - 1] for i in range(1, len(w) - k + 2)]) as g from ws, range(1, 5) r(k)),
+f as (select lang, k, g, count(*) as f from grams group by all having count(*) >= 30),
+scored as (
+  select a.lang, a.k, a.g, a.f as a, j, l.f as l, r.f as r, cast(2000000 * cast(a.f as hugeint) // (l.f + r.f) as bigint) as score
+  from (select *, unnest(range(1, k)) as j from f where k > 1) a
+  join f l on l.lang = a.lang and l.g = a.g[1 : j] join f r on r.lang = a.lang and r.g = a.g[j + 1 : a.k]),
+best as (select * from scored qualify row_number() over (partition by lang, g order by score, j) = 1),
+inner_parts as (
+  select distinct lang, a, g[i : i + m - 1] as g from (select lang, k, g, f as a, m, unnest(range(1, k - m + 2)) as i from f, range(2, 4) r(m) where m < k)),
+held as (select lang, g, max(a) as longer from inner_parts group by all)
+select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank, array_to_string(g, ' ') as phrase, a, l, r, n, score
+from best join totals using (lang) left join held using (lang, g)
+where coalesce(100 * longer < 80 * a, true)
+qualify rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": OP2, "op3_chat": OP3, "op4_decontamination": OP4, "op8_line_dedup": OP8, "op10_quality": OP10}
+    return {"op2_secrets": OP2, "op3_chat": OP3, "op4_decontamination": OP4, "op8_line_dedup": OP8, "op10_quality": OP10, "op11_spelling_variants": OP11, "op12_collocations": OP12}

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.llm import toxicity
 from docketry.llm.chat import format_conversations, read_back
+from docketry.llm.collocations import collocations
 from docketry.llm.common import table
 from docketry.llm.decontaminate import contamination
 from docketry.llm.langid import predict, train
@@ -18,6 +20,7 @@ from docketry.llm.secrets import digest, find_secrets
 from docketry.llm.sharding import assign_shards
 from docketry.llm.simhash import near_duplicates
 from docketry.llm.substrings import dedup_substrings
+from docketry.llm.variants import spelling_variants
 
 SHARDS = 40
 
@@ -86,5 +89,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexicon from rows of remainder 0 and 1, weights from those of 3; those of 2 are held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
+    model = toxicity.train(docs.where(fold != 2), labels, fold < 2)
+    out = toxicity.score(docs, model, (fold == 2).alias("held_out"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}

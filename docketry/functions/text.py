@@ -8,10 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Chinese digits and units, plain and financial forms.
-DIGITS = {"零": 0, "〇": 0, "一": 1, "壹": 1, "二": 2, "贰": 2, "两": 2, "三": 3, "叁": 3, "四": 4, "肆": 4, "五": 5, "伍": 5,
-          "六": 6, "陆": 6, "七": 7, "柒": 7, "八": 8, "捌": 8, "九": 9, "玖": 9}
+DIGITS = {"零": 0, "〇": 0, "一": 1, "壹": 1, "二": 2, "贰": 2, "貳": 2, "两": 2, "三": 3, "叁": 3, "參": 3, "四": 4, "肆": 4,
+          "五": 5, "伍": 5, "六": 6, "陆": 6, "陸": 6, "七": 7, "柒": 7, "八": 8, "捌": 8, "九": 9, "玖": 9}
 UNITS = {"十": 10, "拾": 10, "百": 100, "佰": 100, "千": 1000, "仟": 1000}
-SECTIONS = {"万": 10_000, "亿": 100_000_000}
+SECTIONS = {"万": 10_000, "亿": 100_000_000, "兆": 1_000_000_000_000}
+NUMERAL = "".join([*DIGITS, *UNITS, *SECTIONS])
 #: Full-width forms of the printable ASCII characters and the wide space, with what they stand for.
 WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "\u3000"
 NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
@@ -171,30 +172,32 @@ def _lookup(c: Column, table: dict[str, int]) -> Column:
 
 
 def numeral(text: Column) -> Column:
-    """Value of a Chinese numeral, by (total, section, digit) over its characters."""
+    """Value of a Chinese numeral, by (total, section, digit) over its characters; NULL if it holds any other character.
+
+    A digit stands alone until a unit takes it up; 万, 亿 and 兆 take up the section before them.
+    """
     zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in ("total", "section", "digit")])
 
     def step(a: Column, c: Column) -> Column:
         d, u, s = _lookup(c, DIGITS), _lookup(c, UNITS), _lookup(c, SECTIONS)
         held = a["section"] + a["digit"]
-        by_unit = a["section"] + F.when(a["digit"] == 0, 1).otherwise(a["digit"]) * u
         return F.struct(
-            F.when(s.isNotNull(), (a["total"] + held) * F.when(s == 100_000_000, s).otherwise(1) + F.when(s == 10_000, held * 10_000 - held).otherwise(0)).otherwise(a["total"]).cast("long").alias("total"),
-            F.when(u.isNotNull(), by_unit).when(s.isNotNull(), 0).otherwise(a["section"]).cast("long").alias("section"),
+            F.when(s.isNotNull(), a["total"] + F.when(held == 0, 1).otherwise(held) * s).otherwise(a["total"]).cast("long").alias("total"),
+            F.when(u.isNotNull(), a["section"] + F.when(a["digit"] == 0, 1).otherwise(a["digit"]) * u).when(s.isNotNull(), 0).otherwise(a["section"]).cast("long").alias("section"),
             F.when(d.isNotNull(), d).when(u.isNotNull() | s.isNotNull(), 0).otherwise(a["digit"]).cast("long").alias("digit"),
         )
 
-    return F.aggregate(F.split(text, ""), zero, step, lambda a: a["total"] + a["section"] + a["digit"])
+    value = F.aggregate(F.split(text, ""), zero, step, lambda a: a["total"] + a["section"] + a["digit"])
+    return F.when(text.rlike(f"^[{NUMERAL}]*$"), value)
 
 
 def money(text: Column) -> Column:
-    """DECIMAL(20,2) of an amount in Arabic or Chinese numerals; NULL for anything else."""
-    arabic = F.regexp_extract(text, r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*万?元", 1)
-    scaled = F.regexp_replace(arabic, ",", "").try_cast("decimal(20,6)") * F.when(text.rlike(r"[0-9]\s*万元"), 10_000).otherwise(1)
-    han = "".join([*DIGITS, *UNITS, *SECTIONS])
-    whole = F.regexp_extract(text, f"([{han}]+)[元圆]", 1)
-    cents = F.coalesce(_lookup(F.regexp_extract(text, f"[元圆]([{han}])角", 1), DIGITS), F.lit(0)) * 10 + F.coalesce(
-        _lookup(F.regexp_extract(text, f"[角元圆]([{han}])分", 1), DIGITS), F.lit(0)
-    )
-    spelled = numeral(whole).cast("decimal(20,2)") + (cents / 100).cast("decimal(4,2)")
-    return F.when(arabic != "", F.round(scaled, 2)).when(whole != "", spelled).cast("decimal(20,2)")
+    """DECIMAL(20,2) of an amount in Arabic digits (bare, or in 元, 万 or 万元) or Chinese numerals; NULL for anything else."""
+    bare = F.regexp_replace(text, "人民币|[ ,，整]", "")
+    arabic = F.nullif(F.regexp_extract(bare, r"^([0-9]+(?:\.[0-9]+)?)(?:万元?|元)?$", 1), F.lit(""))
+    scaled = arabic.try_cast("decimal(28,8)") * F.when(F.contains(bare, F.lit("万")), 10_000).otherwise(1)
+    yuan = F.regexp_replace(bare, "圆", "元")
+    whole, rest = F.split(yuan, "元", 2)[0], F.coalesce(F.get(F.split(yuan, "元", 2), F.lit(1)), F.lit(""))
+    part = lambda unit, size: F.coalesce(_lookup(F.regexp_extract(rest, f"^[^{unit}]*(.){unit}", 1), DIGITS), F.lit(0)) * size
+    spelled = numeral(whole).cast("decimal(20,2)") + ((part("角", 10) + part("分", 1)) / 100).cast("decimal(4,2)")
+    return F.when(arabic.isNotNull(), F.round(scaled, 2).try_cast("decimal(20,2)")).when((bare != "") & (yuan != "元"), spelled.try_cast("decimal(20,2)"))

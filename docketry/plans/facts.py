@@ -26,7 +26,7 @@ def numbers_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "select doc_id, kind, keyword, sha256(substr(text, 1, 2000)) as excerpt_sha256 from ("
+    "select doc_id, kind, keyword, sha256(substr(text, greatest(least(strpos(lower(text), keyword) - 1000, length(text) - 1999), 1), 2000)) as excerpt_sha256 from ("
     + " union all ".join(
         f"select doc_id, text, '{kind}' as kind, case " + " ".join(f"when contains(lower(text), '{w}') then '{w}'" for w in words) + " end as keyword from documents"
         for kind, words in LEXICON.items()
@@ -34,6 +34,7 @@ def numbers_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ") where keyword is not null"
 )
 def first_keyword_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first keyword of each kind, with the hash of the 2,000 characters around it."""
     return facts.first_keywords(table(spark, sf_dir, "documents"), "doc_id", LEXICON)
 
 

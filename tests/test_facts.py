@@ -1,5 +1,8 @@
 """Facts, checks, gates, audit, packages and task reports on small tables."""
 
+import hashlib
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from docketry.operators import audit, checks, facts, gates, retrieval, structure
@@ -9,7 +12,7 @@ MONEY = "合同金额：小写1000000元，大写：壹佰万元整。\n不含
 
 
 def test_money_checks(spark):
-    docs = spark.createDataFrame([(1, MONEY), (2, None), (3, "合同金额：100元。付款金额：90元；预付30%，尾款80%")], "k int, text string")
+    docs = spark.createDataFrame([(1, MONEY), (2, None), (3, "合同金额：100元。付款金额：90元；预付款30%，尾款80%")], "k int, text string")
     found = facts.financial_facts(docs, "k")
     status = {(r.k, r.checker): r.status for r in checks.money_checks(found, "k", 0.13).collect()}
     assert [status[1, c] for c in ("amount_case", "tax_rate", "tax_amount", "payment_total")] == ["PASS"] * 4
@@ -17,6 +20,45 @@ def test_money_checks(spark):
     assert not [k for k in status if k[0] == 2]
 
 
+def test_stated_amounts(spark):
+    """Labels, literals, marks and percentages as they stand in sentences; (kind, value, place) of each fact."""
+    cases = [
+        ("合同金额：1000000", [("amount", "1000000", 5)]),
+        ("合同总额：5000元", [("amount", "5000", 5)]),
+        ("价税合计：300元", [("invoice", "300", 5)]),
+        ("含税金额 700元", [("amount", "700", 5)]),
+        ("合同金额：壹佰万元整", [("upper", "1000000", 5)]),
+        ("违约金为合同价的5%，甲方付款后生效", []),
+        ("开具13%专用发票", [("rate", "0.13", 2)]),
+        ("含税单价，13%", [("rate", "0.13", 5)]),
+        ("合同总价：1，000元", [("amount", "1000", 5)]),
+        ("合同价款（数字：12.5万元，大写 壹拾贰万伍仟圆整）", [("amount", "125000", 8), ("upper", "125000", 18)]),
+        ("付款比例为30%；尾款 70 %。", [("ratio", "0.3", 5), ("ratio", "0.7", 12)]),
+        ("合同金额的5%", []),
+        ("税额A12元 13元", [("tax", "13", 7)]),
+        ("小计：300。金额 5", []),
+        (None, []),
+        ("合同金额\n5元", []),
+        ("合同金额" + "款" * 101 + "5元", []),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "k int, text string")
+    got = {}
+    for r in facts.financial_facts(docs, "k").collect():
+        got.setdefault(r.k, []).append((r.kind, r.value, r.begins))
+    for i, (said, want) in enumerate(cases):
+        assert sorted(got.get(i, []), key=lambda f: f[2]) == [(k, Decimal(v), at) for k, v, at in want], said
+    cells = facts.financial_facts(docs, "k", table=F.lit(True)).where("kind like 'detail%'").collect()
+    assert sorted((r.kind, r.value) for r in cells) == [("detail", Decimal(5)), ("detail_total", Decimal(300))]
+
+
+def test_excerpt_holds_its_keyword(spark):
+    docs = spark.createDataFrame([(1, "x" * 5000 + " Token " + "y" * 300), (2, "token"), (3, "z" * 1500 + "token" + "z" * 5000)], "k int, text string")
+    got = {r.k: r.excerpt_sha256 for r in facts.first_keywords(docs, "k", {"credential": ("token",)}).collect()}
+    says = {r.k: r.text for r in docs.collect()}
+    want = {1: says[1][-2000:], 2: "token", 3: says[3][500:2500]}
+    assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in want.items()}
+
+
 def test_two_values_are_unknown(spark):
     rows = spark.createDataFrame([(1, "amount", 5.0), (1, "amount", 5.0), (1, "upper", 5.0), (2, "amount", 5.0), (2, "amount", 6.0), (2, "upper", 5.0)], "k int, kind string, v double")
     out = checks.money_checks(rows.select("k", "kind", F.col("v").cast("decimal(26,6)").alias("value")), "k", 0.13)

@@ -18,6 +18,20 @@ def test_money(spark):
         ("十五元", "15.00"),
         ("三亿零五万元", "300050000.00"),
         ("合同编号2026", None),
+        ("1，000元", "1000.00"),
+        ("1,000", "1000.00"),
+        ("3万", "30000.00"),
+        ("貳佰元", "200.00"),
+        ("壹佰万", "1000000.00"),
+        ("壹兆元", "1000000000000.00"),
+        ("壹佰元柒角陆分", "100.76"),
+        ("1.005元", "1.01"),
+        ("一千二百万亿", "112000000.00"),
+        ("壹佰萬元", None),
+        ("x元", None),
+        ("元", None),
+        ("整", None),
+        ("", None),
         (None, None),
     ]
     got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").orderBy("i").select(money(F.col("t"))).collect()

@@ -380,10 +380,10 @@ def rule_hits(spark: SparkSession, sf_dir: str, k: int = 5) -> tuple[DataFrame,
         "package_id", "query_id", F.array(F.lit("contract"), F.lit("rule")).alias("source_kinds"), F.array("rule_id").alias("rule_ids"),
         F.when(F.col("rule_id") == "payment", F.array(F.lit("main_contract"))).alias("document_kinds"),
     )
-    ready = search.prepared(contract).unionByName(packages.join(F.broadcast(search.prepared(own))).withColumns({n: F.lit(None).cast("string") for n in ("document_id", "document_kind")}), allowMissingColumns=True)  # a fixed few rules
-    pairs = search.filtered(ready, filters, ["package_id"])
-    hits = cut(search.search(pairs, queries, ["package_id"], k))
-    return contract.unionByName(ruled), queries, hits.join(queries.select("package_id", "query_id", "rule_id"), ["package_id", "query_id"])
+    every = contract.unionByName(ruled)
+    index = cut(search.index_chunks(every, asked, ["package_id"]))
+    hits = cut(search.search(index, queries, filters, ["package_id"], k))
+    return every, queries, hits.join(queries.select("package_id", "query_id", "rule_id"), ["package_id", "query_id"])
 
 
 def rule_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -430,16 +430,17 @@ HITS = f"""{G}, {Q}, ch as (
   union all select o_orderkey, null, chunk_id, 'rule', rule_id, content, evidence_id from orders, ({RULE_SQL})),
 t as (select *, lower(content) as low, regexp_replace(lower(content), '\\s', '', 'g') as folded, {tokens_sql('content')} as t from ch),
 p as (select t.* exclude (rule_id), q.rule_id, q.query_id, q.text, terms, len(t) as length, list_filter(exact, lambda a: len(list_filter(a, lambda s: contains(folded, s))) > 0) as ex,
-    list_filter(required, lambda a: len(list_filter(a, lambda s: contains(folded, s))) > 0) as rq, contains(low, q.text) as whole
+    list_filter(required, lambda a: len(list_filter(a, lambda s: contains(folded, s))) > 0) as rq, contains(low, q.text) as whole, length(q.text) >= 2 and contains(low, regexp_replace(q.text, '\\s', '', 'g')) as phrase,
+    len(list_intersect(t, terms)) > 0 as any_term, len(required) > 0 as gated
   from t join q on t.rule_id is null or t.rule_id = q.rule_id where source_kind = 'rule' or q.rule_id <> 'payment' or document_kind = 'main_contract'),
 s as (select package_id, rule_id, count(*) as n, greatest(avg(length), 1) as mean from p group by all),
 tf as (select package_id, rule_id, chunk_id, term, count(*) as tf from (select package_id, rule_id, chunk_id, terms, unnest(t) as term from p) where list_contains(terms, term) group by all),
 df as (select package_id, rule_id, term, count(*) as df from tf group by all),
 bm as (select tf.package_id, tf.rule_id, tf.chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) as bm
   from tf join df using (package_id, rule_id, term) join s using (package_id, rule_id) join p using (package_id, rule_id, chunk_id) group by all),
-sc as (select p.*, round(coalesce(bm, 0) + whole::int + len(ex) + 10 * len(rq), 6) as score, source_kind = 'rule' as free, whole or len(list_filter(ex, lambda a: length(a[1]) >= 3)) > 0 as safe
-  from p left join bm using (package_id, rule_id, chunk_id)),
-g1 as (select *, max(case when not free then score end) over (partition by package_id, rule_id) as best from sc where score > 0 and (free or safe or score >= 4)),
+sc as (select p.*, round(coalesce(bm, 0) + whole::int + len(ex) + 10 * len(rq), 6) as score, source_kind = 'rule' as free, phrase or len(list_filter(ex, lambda a: length(a[1]) >= 3)) > 0 as safe
+  from p left join bm using (package_id, rule_id, chunk_id) where (any_term or len(ex) > 0) and (source_kind = 'rule' or not gated or len(rq) > 0)),
+g1 as (select *, max(case when not free then score end) over (partition by package_id, rule_id) as best from sc where free or safe or score >= 4),
 hits as (select * from (select *, row_number() over (partition by package_id, rule_id order by score desc, chunk_id) as lexical_rank from g1 where free or safe or score >= 0.55 * best) where lexical_rank <= 5),
 cand as (select *, 'candidate-' || substr(sha256(concat_ws(chr(31), package_id, query_id, chunk_id)), 1, 20) as candidate_id,
   case when source_kind = 'rule' then 'REJECT' when case when rule_id = 'breach' then len(ex) > 0 else len(rq) > 0 end then 'ACCEPT' else 'INSUFFICIENT' end as outcome from hits)"""
@@ -510,7 +511,8 @@ def element_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
     asked = search.location_query(c, "package_id", LABELS)
     filters = asked.select("package_id", "query_id", F.array(F.lit("contract")).alias("source_kinds"))
-    found = search.search(search.filtered(search.prepared(c.withColumn("rule_id", F.lit(None).cast("string"))), filters, ["package_id"]), asked, ["package_id"], 40)
+    index = cut(search.index_chunks(c.withColumn("rule_id", F.lit(None).cast("string")), asked, ["package_id"]))
+    found = search.search(index, asked, filters, ["package_id"], 40)
     says = found.join(c.select("package_id", "chunk_id", "content"), ["package_id", "chunk_id"])
     return says.groupBy("package_id").agg(F.count("*").alias("n_hits"), F.bool_and(F.col("content").rlike("甲方|乙方|合同|编号")).alias("labelled"))
 

@@ -4,13 +4,13 @@ Each task numbers the words it meets and counts sequences in a trie over those n
 trie's shallow nodes hang hash containers from the rest of a sequence to its count; a container
 that grows beyond `BURST` entries bursts into a node with a container for each next word. When a
 task holds `ENTRIES` sequences, its largest subtrees (all that begins with one word) are spilled
-whole as runs in the order of their words. Spark brings runs to a partition for each prefix, sorts
-and merges them there, and keeps sequences that occur `least` times.
+whole as runs in the order of their words, cut by hashed prefix. Spark brings the runs of a prefix
+partition together, where they are merged, and sequences that occur `least` times stay.
 
 What the trie need not count is found before, level by level from one word to `longest`: a sequence
 can only occur `least` times if both its parts that lack one end do. Texts are written once as
-32-bit hashes of their words; the sequences whose parts pass the level before are counted by a 64-bit
-hash of them, and those counted `least` times are marked in a filter of `FILTER_BITS` bits, of a size
+32-bit hashes of their words; the sequences whose parts pass the level before are counted by a
+hash of them (48 bits are kept), and those counted `least` times are marked in a filter of `FILTER_BITS` bits, of a size
 that no input changes. Equal hashes and marks only let more sequences through to the trie, which
 counts them by their words, so results are exact whatever the input.
 
@@ -24,11 +24,13 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ from docketry.llm.common import cut, text_of
 BURST, ENTRIES, WORDS = 4096, 1_000_000, 1 << 20
 #: Bytes of text that are split into words at once.
 BLOCK = 1 << 22
+#: Hashes of sequences that a task holds before it passes them on.
+HELD = 1 << 22
 #: Bits of the filter of a level: 8 MB.
 FILTER_BITS = 1 << 26
 #: Parts in which a language's first rows are looked for before they are merged.
@@ -108,12 +112,12 @@ def word_hash(lang: str, word: bytes) -> int:
 
 
 def joined(hashes: np.ndarray, words: int) -> np.ndarray:
-    """64 bits that stand for the sequence of `words` words at each place."""
+    """48 bits that stand for the sequence of `words` words at each place."""
     n = max(0, len(hashes) - words + 1)
     out = hashes[:n] * _ODD
     for k in range(1, words):
         out = (out ^ (out >> np.uint64(29))) * _ODD + hashes[k : k + n]
-    return out ^ (out >> np.uint64(32))
+    return out >> np.uint64(16)
 
 
 def marked(hashes: np.ndarray, words: int, bits: np.ndarray) -> np.ndarray:
@@ -212,11 +216,39 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return _said(docs).mapInArrow(run, "said binary")
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    k = np.concatenate(keys)
+    order = np.argsort(k, kind="stable")
+    k, n = k[order], np.concatenate(counts)[order]
+    starts = np.nonzero(np.concatenate([[True], k[1:] != k[:-1]]))[0] if len(k) else np.zeros(0, dtype=np.int64)
+    return k[starts], np.add.reduceat(n, starts) if len(k) else n
+
+
+def packed(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Sorted keys as steps from one to the next, in a row for each range of keys; counts beyond 255 read 255."""
+    edges = np.array([(b << 48) // buckets for b in range(buckets + 1)], dtype=np.uint64)
+    at, rows = np.searchsorted(keys, edges), []
+    for b in np.nonzero(np.diff(at.astype(np.int64)))[0].tolist():
+        part = keys[at[b] : at[b + 1]]
+        steps = np.diff(part, prepend=edges[b])
+        wide = bool(steps.max() >> np.uint64(32))
+        said = np.minimum(counts[at[b] : at[b + 1]], 255).astype(np.uint8)
+        rows.append((b, wide, (steps if wide else steps.astype(np.uint32)).tobytes(), said.tobytes()))
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "wide", "steps", "counts"])
+
+
 def _filter(hashed: DataFrame, words: int, before: np.ndarray | None, least: int) -> np.ndarray:
-    """The bits of sequences of `words` words that may occur `least` times, from the filter of those a word shorter."""
-    shared = hashed.sparkSession.sparkContext.broadcast(before) if before is not None else None
+    """The bits of sequences of `words` words that may occur `least` times (255 at most), from the filter of those a word shorter."""
+    spark = hashed.sparkSession
+    shared = spark.sparkContext.broadcast(before) if before is not None else None
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         for b in batches:
             for said in b.column("said"):
                 h = np.frombuffer(said.as_buffer(), dtype=np.uint32).astype(np.uint64)
@@ -227,14 +259,30 @@ def _filter(hashed: DataFrame, words: int, before: np.ndarray | None, least: int
                 if shared is not None and n:
                     passes = marked(h, words - 1, shared.value)
                     good &= passes[:n] & passes[1 : n + 1]
-                keys, counts = np.unique(joined(h, words)[good], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["h", "n"])
-
-    often = hashed.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    at = F.pmod(F.col("h"), F.lit(FILTER_BITS))  # FILTER_BITS divides 2 ** 64, so the sign doesn't matter
-    word = F.shiftright(at, 6).cast("int").alias("word")
-    marks = often.groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(h, {FILTER_BITS}) % 64 as int)))").alias("bits"))
-    rows = marks.toPandas()  # FILTER_BITS / 64 rows at most
+                found = np.unique(joined(h, words)[good], return_counts=True)
+                keys.append(found[0])
+                counts.append(found[1])
+                if sum(map(len, keys)) > HELD:
+                    k, n = _summed(keys, counts)
+                    keys, counts = [k], [n]
+                    if 2 * len(k) > HELD:
+                        yield packed(k, n, buckets)
+                        keys, counts = [], []
+        if keys:
+            yield packed(*_summed(keys, counts), buckets)
+
+    def often(key, table):  # type hints would have to name all kinds that Spark knows
+        low = (key[0].as_py() << 48) // buckets
+        keys, counts = [], []
+        for wide, steps, said in zip(table["wide"].to_pylist(), table["steps"].to_pylist(), table["counts"].to_pylist(), strict=True):
+            keys.append(np.cumsum(np.frombuffer(steps, dtype=np.uint64 if wide else np.uint32).astype(np.uint64)) + np.uint64(low))
+            counts.append(np.frombuffer(said, dtype=np.uint8).astype(np.int64))
+        k, n = _summed(keys, counts)
+        at = k[n >= least] % np.uint64(FILTER_BITS)
+        return pa.table({"word": pa.array((at >> np.uint64(6)).astype(np.int32)), "bits": pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))})
+
+    kept = hashed.mapInArrow(run, "bucket int, wide boolean, steps binary, counts binary").groupBy("bucket").applyInArrow(often, "word int, bits long")
+    rows = kept.groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most
     if shared is not None:
         shared.unpersist()
     bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
@@ -243,13 +291,21 @@ def _filter(hashed: DataFrame, words: int, before: np.ndarray | None, least: int
 
 
 def _runs(docs: DataFrame, filters: list[np.ndarray]) -> DataFrame:
-    """lang, phrase, words, n: spilled counts of the sequences that pass the filter of their length; of length 0, all words of a language."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    """lang, bucket, phrases, counts: sorted runs spilled of the sequences that pass the filter of their length; the phrase '' has all words of a language."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(filters)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def spill(held: Words, trie: Trie, words: int, firsts: list[int]) -> Iterator[pa.RecordBatch]:
         rows = (x for first in firsts for x in trie.run(first, words - 1))
-        while part := sorted((b" ".join([held.words[w] for w in seq]), n) for seq, n in itertools.islice(rows, 100_000)):
-            yield _batch(held.lang, pa.array([p for p, _ in part], pa.binary()).cast(pa.string()), words, [n for _, n in part])
+        while part := sorted((b" ".join([held.words[w] for w in seq]), n) for seq, n in itertools.islice(rows, 200_000)):
+            runs: dict[int, tuple[list[bytes], list[int]]] = {}
+            for phrase, n in part:  # of four words the first three are the prefix
+                bucket = zlib.crc32(phrase.rpartition(b" ")[0] if words > 3 else phrase) % buckets
+                run = runs.setdefault(bucket, ([], []))
+                run[0].append(phrase)
+                run[1].append(n)
+            yield _batch(held.lang, runs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[Words, list[Trie]]] = {}
@@ -280,14 +336,15 @@ def _runs(docs: DataFrame, filters: list[np.ndarray]) -> DataFrame:
         for lang, (held, tries) in known.items():
             for k, trie in enumerate(tries):
                 yield from spill(held, trie, k + 1, list(trie.roots))
-            yield _batch(lang, pa.array([""]), 0, [total[lang]])
+            yield _batch(lang, {0: ([b""], [total[lang]])})
 
-    return _said(docs).mapInArrow(run, "lang string, phrase string, words int, n long")
+    return _said(docs).mapInArrow(run, "lang string, bucket int, phrases array<string>, counts array<long>")
 
 
-def _batch(lang: str, phrases: pa.Array, words: int, counts: list[int]) -> pa.RecordBatch:
-    columns = [pa.array([lang] * len(counts)), phrases, pa.array([words] * len(counts), pa.int32()), pa.array(counts, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n"])
+def _batch(lang: str, runs: dict[int, tuple[list[bytes], list[int]]]) -> pa.RecordBatch:
+    phrases = pa.array([p for p, _ in runs.values()], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+    columns = [pa.array([lang] * len(runs)), pa.array(list(runs), pa.int32()), phrases, pa.array([n for _, n in runs.values()], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "phrases", "counts"])
 
 
 def count_phrases(docs: DataFrame, longest: int = 4, least: int = 30) -> DataFrame:
@@ -295,10 +352,16 @@ def count_phrases(docs: DataFrame, longest: int = 4, least: int = 30) -> DataFra
     hashed, filters = cut(_hashed(docs)), []
     for words in range(1, longest + 1):
         filters.append(_filter(hashed, words, filters[-1] if filters else None, least))
-    prefix = F.substring_index("phrase", " ", 3)  # a run's prefix: of four words the first three
-    dealt = _runs(docs, filters).withColumn("prefix", prefix).repartition("lang", "prefix").sortWithinPartitions("lang", "prefix", "phrase")
-    merged = dealt.groupBy("lang", "prefix", "phrase", "words").agg(F.sum("n").alias("f"))
-    return cut(merged.where((F.col("f") >= least) | (F.col("words") == 0)).select("lang", "phrase", "words", "f"))
+
+    def merge(key, runs):
+        rows = pa.table({"phrase": pc.list_flatten(runs["phrases"]), "f": pc.list_flatten(runs["counts"])})
+        sums = rows.group_by("phrase").aggregate([("f", "sum")]).rename_columns({"f_sum": "f"})
+        kept = sums.filter(pc.or_(pc.greater_equal(sums["f"], least), pc.equal(sums["phrase"], "")))
+        return pa.table({"lang": pa.repeat(key[0], len(kept)), "phrase": kept["phrase"], "f": kept["f"]})
+
+    merged = _runs(docs, filters).groupBy("lang", "bucket").applyInArrow(merge, "lang string, phrase string, f long")
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("words")
+    return cut(merged.select("lang", "phrase", words, "f"))
 
 
 def collocations(docs: DataFrame, longest: int = 4, least: int = 30, most: int = 2000, scale: int = 2_000_000) -> DataFrame:

@@ -134,5 +134,7 @@ def mixed(docs: DataFrame, **options: object) -> DataFrame:
     """
     taken = mix(docs, **options).groupBy("row_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("alike")).where("copies > 0")
     found = wrapped(docs, _row_hash().alias("row_hash")).join(taken, "row_hash")
-    once = found.where("alike = 1").unionByName(found.where("alike > 1").dropDuplicates(["row_hash"]))
+    # rows alike in these may differ in other columns; reruns repeat the same one
+    first = found.where("alike > 1").groupBy("row_hash").agg(F.first("copies").alias("copies"), F.min_by("whole", F.xxhash64("whole")).alias("whole"))
+    once = found.where("alike = 1").select("copies", "whole").unionByName(first.select("copies", "whole"))
     return once.select("whole", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("whole.*")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,19 +55,53 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75,
     return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2_000) -> DataFrame:
-    """query_id, doc_id, score, vector_rank. Queries meet all rows in broadcast blocks of bounded size."""
-    unit = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    blocks = max(1, math.ceil(q.count() / block))
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 20_000) -> DataFrame:
+    """query_id, doc_id, score, vector_rank: the k rows with the greatest cosines (0 at least, two decimals), ties by id.
+
+    Each batch of vectors meets the queries as one matrix product and keeps its own best k, so a row for a pair is made for
+    those only. Queries are broadcast, `block` of them at a time, and the vectors are read once for each such block. A row
+    isn't found by the query of the same id. Vectors must be of one length; null ones and zero vectors score 0.
+    """
+    asked = queries.select(F.col("vec_id").alias("query_id"), "embedding")
+    blocks = max(1, math.ceil(asked.count() / block))
+    ids = vectors.schema["vec_id"].dataType.simpleString()
+
+    def matrix(column: pa.ChunkedArray | pa.Array, width: int | None) -> np.ndarray:
+        rows = column.to_pylist()
+        width = width or max((len(r) for r in rows if r is not None), default=0)
+        out = np.array([r if r is not None else [0.0] * width for r in rows], dtype=np.float64).reshape(-1, width)
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+    def best_of(part: DataFrame) -> DataFrame:
+        table = part.orderBy("query_id").toArrow()  # `block` vectors at most
+        names, q = table["query_id"].to_pylist(), matrix(table["embedding"], None)
+        shared = vectors.sparkSession.sparkContext.broadcast((names, q))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            for b in batches:
+                doc = b.column("vec_id").to_pylist()
+                order = sorted(range(len(doc)), key=lambda i: doc[i])
+                doc = [doc[i] for i in order]
+                v = matrix(b.column("embedding").take(pa.array(order)), q.shape[1])
+                for at in range(0, len(names), 256):
+                    cosine = np.floor(np.maximum(v @ q[at : at + 256].T, 0.0).T * 100 + 0.5 + 1e-12) / 100
+                    where = {d: i for i, d in enumerate(doc)}
+                    for i, name in enumerate(names[at : at + 256]):
+                        if name in where:
+                            cosine[i, where[name]] = -1.0
+                    best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+                    rows = [(name, doc[j], float(cosine[i, j])) for i, name in enumerate(names[at : at + 256]) for j in best[i].tolist() if cosine[i, j] >= 0]
+                    if rows:
+                        query, found, score = zip(*rows, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(query, b.column("vec_id").type), pa.array(found, b.column("vec_id").type), pa.array(score)], ["query_id", "doc_id", "score"])
+
+        return top_k(vectors.select("vec_id", "embedding").mapInArrow(run, f"query_id {ids}, doc_id {ids}, score double"), k, "vector_rank")
+
     out = None
     for i in range(blocks):
-        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        pairs = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")).join(F.broadcast(part), F.col("doc_id") != F.col("query_id"))
-        dot = F.aggregate(F.zip_with("v", "q", lambda a, c: a.cast("double") * c), F.lit(0.0), lambda a, x: a + x)
-        norm = F.sqrt(unit(F.col("v"))) * F.sqrt(unit(F.col("q")))
-        one = pairs.select("query_id", "doc_id", F.round(F.greatest(F.when(norm > 0, dot / norm).otherwise(0.0), F.lit(0.0)), 2).alias("score"))
-        one = top_k(one, k, "vector_rank")
+        one = best_of(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked)
         out = one if out is None else out.union(one)
     return out
 

@@ -367,8 +367,8 @@ def contract_term_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- search, candidates, findings ---------------------------------------------------------------
 
 
-def rule_hits(spark: SparkSession, sf_dir: str, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chunks with clauses, queries of rules in packages, and the best k hits of each."""
+def rule_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Chunks of packages with those of the rules, the rules' queries, the queries of each package, and their limits."""
     asked = search.rule_queries(rules(spark))
     packages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("package_id"))
     own = rule_table(spark)
@@ -380,10 +380,15 @@ def rule_hits(spark: SparkSession, sf_dir: str, k: int = 5) -> tuple[DataFrame,
         "package_id", "query_id", F.array(F.lit("contract"), F.lit("rule")).alias("source_kinds"), F.array("rule_id").alias("rule_ids"),
         F.when(F.col("rule_id") == "payment", F.array(F.lit("main_contract"))).alias("document_kinds"),
     )
-    every = contract.unionByName(ruled)
+    return contract.unionByName(ruled), asked, queries, filters
+
+
+def rule_hits(spark: SparkSession, sf_dir: str, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks of packages and rules, queries of rules in packages, and the best k hits of each."""
+    every, asked, queries, filters = rule_inputs(spark, sf_dir)
     index = cut(search.index_chunks(every, asked, ["package_id"]))
-    hits = cut(search.search(index, queries, filters, ["package_id"], k))
-    return every, queries, hits.join(queries.select("package_id", "query_id", "rule_id"), ["package_id", "query_id"])
+    hits = cut(search.search(index, asked, filters, ["package_id"], k))
+    return every, queries, hits.join(F.broadcast(asked.select("query_id", "rule_id")), "query_id")  # a fixed few rules
 
 
 def rule_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -499,6 +504,38 @@ def promoted_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.promote(weaker, items, ["package_id"]).select("package_id", "candidate_id", "outcome", "assessed_by")
 
 
+#: Phrases whose counts make the vector of a text: what stands for embeddings here, known to both engines.
+DIMENSIONS = ("合同", "付款", "验收", "金额", "违约", "甲方", "乙方", "元")
+VECTOR = "[" + ", ".join(f"cast((length({{0}}) - length(replace({{0}}, '{d}', ''))) // {len(d)} as double)" for d in DIMENSIONS) + "]"
+DOT = "list_sum(list_transform(range(1, 9), lambda i: {0}[i] * {1}[i]))"
+HYBRID = HITS.replace("lexical_rank <= 5", "lexical_rank <= 15") + f""",
+v0 as (select p.package_id, p.rule_id, p.chunk_id, p.source_kind, {VECTOR.format('p.content')} as v, {VECTOR.format('p.text')} as q from p
+  where package_id % 7 <> 0 and (source_kind = 'rule' or length(trim(content)) >= 8)),
+v1 as (select *, {DOT.format('v', 'q')} as vq, sqrt({DOT.format('v', 'v')}) * sqrt({DOT.format('q', 'q')}) as norm from v0),
+v2 as (select package_id, rule_id, chunk_id, source_kind, round(case when norm > 0 then vq / norm else 0 end, 2) as cosine from v1),
+v as (select * from (select *, row_number() over (partition by package_id, rule_id order by case when source_kind = 'rule' then 0 else 1 end, cosine desc, chunk_id) as vector_rank
+  from v2 where source_kind = 'rule' or cosine >= 0.1) where vector_rank <= 15),
+fu as (select package_id, rule_id, chunk_id, lexical_rank, vector_rank, round(coalesce(1.0::double / (60 + lexical_rank), 0) + coalesce(1.0::double / (60 + vector_rank), 0), 12) as fused
+  from (select * from hits where package_id % 7 <> 0) h full outer join v using (package_id, rule_id, chunk_id)),
+slots as (select fu.*, 'hybrid' as mode, row_number() over (partition by package_id, rule_id order by case when p.source_kind = 'rule' then 0 else 1 end, fused desc, chunk_id) as slot
+  from fu join p using (package_id, rule_id, chunk_id) where p.source_kind = 'rule' or not gated or len(rq) > 0)"""
+
+
+@query(
+    f"""with {HYBRID} select package_id, rule_id, chunk_id, cast(lexical_rank as int) as lexical_rank, cast(vector_rank as int) as vector_rank, mode, fused as score, cast(slot as int) as slot from slots where slot <= 5
+union all select package_id, rule_id, chunk_id, cast(lexical_rank as int), null, 'lexical', score, cast(lexical_rank as int) from hits where package_id % 7 = 0 and lexical_rank <= 5"""
+)
+def hybrid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical and vector hits of each rule fused by rank, gated again, in slots; packages without vectors keep their lexical hits."""
+    counts = lambda c: F.array(*[((F.length(c) - F.length(F.replace(F.col(c), F.lit(d), F.lit("")))) / len(d)).cast("double") for d in DIMENSIONS])
+    every, asked, queries, filters = rule_inputs(spark, sf_dir)
+    index = cut(search.index_chunks(every, asked, ["package_id"]))
+    vectors = every.where("package_id % 7 <> 0").select("package_id", "chunk_id", counts("content").alias("embedding"))
+    hits = search.hybrid_search(index, vectors, asked.withColumn("embedding", counts("text")), filters, ["package_id"], 5)
+    named = hits.join(F.broadcast(asked.select("query_id", "rule_id")), "query_id")  # the bundle's rules, a fixed few
+    return named.select("package_id", "rule_id", "chunk_id", "lexical_rank", "vector_rank", "mode", "score", "slot")
+
+
 LABELS = ["合同编号", "甲方", "乙方"]
 
 

@@ -71,3 +71,38 @@ def stream_transition_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.streaming.ledger import transition_breaks
 
     return transition_breaks(spark, f"{sf_dir}/events.parquet", "user_id", "event_type", REFUSED)
+
+
+TTL_MS, RETRIES, LATE_MS = 36 * 3_600_000, 3, 2 * 86_400_000
+
+
+@query(
+    f"""with recursive w as (select epoch_us(max(ts)) // 1000 - {LATE_MS} as w from events),
+e as (select user_id as subject, event_id, epoch_us(ts) // 1000 as t, case when event_type in ('signup', 'error') then 'acquire' when event_type = 'purchase' then 'release' else 'beat' end as action,
+    event_id % 8 as claimed, row_number() over (partition by user_id order by epoch_us(ts) // 1000, event_id) as i from events, w where epoch_us(ts) // 1000 <= w),
+s as (
+  select distinct subject, cast(0 as bigint) as i, cast(null as bigint) as event_id, cast(null as bigint) as t, cast(0 as bigint) as token, false as running, cast(0 as bigint) as until,
+    cast(0 as bigint) as retries, false as dead, cast(null as varchar) as verdict, cast(null as varchar) as ended, cast(null as bigint) as ended_token, cast(null as bigint) as ended_at from e
+  union all
+  select subject, i, event_id, t, case when granted then token1 + 1 else token1 end, granted or running1 and not released, case when granted or ok and action = 'beat' then t + {TTL_MS} else until end,
+    case when released then 0 else retries1 end, dead1,
+    case when action = 'acquire' then case when dead1 then 'refused' when running1 then 'held' else 'granted' end when not ok then 'stale' when released then 'released' else 'accepted' end,
+    case when requeued then 'requeue' when expired then 'dead_letter' end, token1, until
+  from (select *, action = 'acquire' and not dead1 and not running1 as granted, running1 and claimed = token1 and action <> 'acquire' as ok, running1 and claimed = token1 and action = 'release' as released
+    from (select *, token + requeued::int as token1, running and not expired as running1, retries + requeued::int as retries1, dead or (expired and not requeued) as dead1
+      from (select *, expired and retries < {RETRIES} as requeued
+        from (select s.subject, e.i, e.event_id, e.t, e.action, e.claimed, s.token, s.running, s.until, s.retries, s.dead, s.running and s.until <= e.t as expired from s join e on e.subject = s.subject and e.i = s.i + 1)))))
+select subject, event_id, t as at, verdict, token from s where i > 0
+union all select subject, null, ended_at, ended, ended_token from s where ended is not null
+union all select subject, null, until, case when retries < {RETRIES} then 'requeue' else 'dead_letter' end, token + (retries < {RETRIES})::int
+  from (select *, row_number() over (partition by subject order by i desc) as last from s), w where last = 1 and running and until <= w"""
+)
+def lease_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as tasks: who gets the lease, who bears an old token, what time requeues or gives up, from the events as a stream."""
+    from docketry.streaming import ledger, leases
+
+    events = ledger.event_stream(spark, f"{sf_dir}/events.parquet")
+    action = F.when(F.col("event_type").isin("signup", "error"), "acquire").when(F.col("event_type") == "purchase", "release").otherwise("beat")
+    token = F.when(action != "acquire", F.col("event_id") % 8)
+    asked = events.select(F.col("ts").cast("timestamp").alias("time"), F.col("user_id").alias("subject"), "event_id", action.alias("action"), token.alias("token"))
+    return leases.lease_decisions(spark, asked, TTL_MS, RETRIES, f"{LATE_MS} milliseconds")

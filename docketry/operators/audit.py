@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions.canonical import canonical_row
+
 
 def repeated_ids(rows: DataFrame, keys: Sequence[str], payload: Column) -> DataFrame:
     """keys, n, n_payloads of keys that occur twice or more; more than one payload is a conflict."""
@@ -49,6 +51,13 @@ def fingerprint(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     return rows.withColumn("_h", row_hash(columns)).groupBy(*by).agg(F.count("*").alias("n"), F.concat_ws("-", *sums).alias("fingerprint"))
 
 
+def content_fingerprint(rows: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
+    """by, n, fingerprint of rows that hold structs, arrays and maps, by their canonical JSON without run times."""
+    names = [c for c in (columns or rows.columns) if c not in by]
+    hashed = rows.select(*by, F.sha2(canonical_row(rows, names), 256).alias("_h"))
+    return hashed.groupBy(*by).agg(F.count("*").alias("n"), F.concat_ws("-", *[F.sum(p).cast("string") for p in _sums(F.col("_h"))]).alias("fingerprint"))
+
+
 def replay_differences(first: DataFrame, second: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """keys, state: keys whose rows differ between two runs: changed, missing from the second or new in it.
 

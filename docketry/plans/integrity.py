@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.functions.canonical import canonical_row
 from docketry.operators import audit
 from docketry.plans.base import query, table
-from docketry.sources import packages
+from docketry.sources import appended, packages
+from docketry.sources.shared import shared_folder
 
 
 @query(
@@ -80,3 +84,37 @@ def unseen_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text no document of an earlier run (the labelled ones) has."""
     docs = table(spark, sf_dir, "documents").where("text is not null").withColumn("sha", F.sha2("text", 256))
     return packages.unseen(docs, docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi"), ["sha"]).select("doc_id", "source")
+
+
+@query(
+    r"""select o_orderkey, sha256('{"amounts":[' || regexp_replace(regexp_replace(cast(cast(o_totalprice as decimal(20,2)) as varchar), '0+$', ''), '\.$', '') || ',null],"key":' || o_orderkey
+  || ',"notes":{"priority":"' || o_orderpriority || '","status":"' || o_orderstatus || '"},"z":{"a":' || (o_orderkey % 2 = 0) || '}}') as sha from orders"""
+)
+def canonical_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as nested values whose map entries come in either order and whose run times differ: one JSON text, one hash."""
+    o = table(spark, sf_dir, "orders")
+    priority, status = (F.lit("priority"), F.col("o_orderpriority")), (F.lit("status"), F.col("o_orderstatus"))
+    notes = F.when(F.col("o_orderkey") % 2 == 0, F.create_map(*priority, *status)).otherwise(F.create_map(*status, *priority))
+    z = F.struct((F.col("o_orderkey") % 2 == 0).alias("a"), F.current_timestamp().alias("created_at"))
+    price = F.col("o_totalprice").cast("decimal(20,2)")
+    nested = o.select(z.alias("z"), F.col("o_orderkey").alias("key"), notes.alias("notes"), F.array(price, F.lit(None).cast("decimal(20,2)")).alias("amounts"), F.rand().alias("occurred_at"))
+    return nested.select(F.col("key").alias("o_orderkey"), F.sha2(canonical_row(nested), 256).alias("sha"))
+
+
+@query(
+    """select event_type, count(*) as n, round(sum(value), 4) as total, min(ts)::varchar as first_at, cast(count(distinct event_id % 4) as bigint) as n_batches, cast(max(case when event_id % 4 = 2 then 1 else 0 end) as int) as revision
+from events group by 1"""
+)
+def event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events appended as JSON lines in four batches, one of them twice and one in a second revision, read back and checked."""
+    folder = f"{shared_folder(spark, 'ledger')}/ledger-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events")
+    part = lambda i: events.where(F.pmod("event_id", F.lit(4)) == i)
+    for i in range(4):
+        appended.append(part(i), folder, f"b{i}")
+    appended.append(part(1), folder, "b1")
+    appended.append(part(2), folder, "b2", revision=1)
+    rows, _ = appended.read(spark, folder, events.schema)
+    return rows.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("ts").cast("string").alias("first_at"), F.count_distinct("batch").alias("n_batches"), F.max("revision").alias("revision")
+    )

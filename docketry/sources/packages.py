@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions.canonical import canonical
+
 
 def manifest(documents: DataFrame, package: str, document: str, sha: str) -> DataFrame:
     """package, documents (sorted by id), snapshot, duplicates: one row for each package.
@@ -16,7 +18,7 @@ def manifest(documents: DataFrame, package: str, document: str, sha: str) -> Dat
     once = documents.groupBy(package, document).agg(F.min(sha).alias("sha"), F.count("*").alias("n"))
     files = F.array_sort(F.collect_list(F.struct(F.col(document).alias("document"), F.col("sha"))))
     out = once.groupBy(package).agg(files.alias("documents"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
-    return out.withColumn("snapshot", F.sha2(F.to_json("documents"), 256))
+    return out.withColumn("snapshot", F.sha2(canonical(F.col("documents"), out.schema["documents"].dataType), 256))
 
 
 def kinds_by_name(documents: DataFrame, kinds: DataFrame, package: str) -> DataFrame:

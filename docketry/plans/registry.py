@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import amounts, contracts, core, events, facts, findings, integrity, ranking, versions  # noqa: F401  (they register their queries)
+from docketry.plans import amounts, bundles, contracts, core, events, facts, findings, integrity, ranking, versions  # noqa: F401  (they register their queries)
 from docketry.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

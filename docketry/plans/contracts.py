@@ -364,6 +364,24 @@ def contract_term_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.contract_terms(packages, found, ["payment", "acceptance", "renewal", "breach"], "package_id")
 
 
+POLICY = f"case {K} % 3 when 0 then 'WARN' when 1 then 'BLOCK' else 'UNKNOWN' end"
+
+
+@query(
+    f"""select package_id, status, reason, reason not in ('no term', 'no date') and status <> 'UNKNOWN' as automatic, reason not in ('no term', 'no date') and (status <> 'UNKNOWN' or reason = 'missing') as sufficient from (
+  select *, case when reason in ('missing', 'no term', 'no date') then policy when reason = 'complete' then 'PASS' when reason = 'no place' then 'WARN' else 'UNKNOWN' end as status from (
+    select {K} as package_id, {POLICY} as policy, case when {K} % 6 = 0 and {K} % 5 = 0 then case when {K} % 17 = 0 then 'unparsed' else 'missing' end when {K} % 6 = 0 then 'no term' when {K} % 5 = 0 then 'no date'
+      when {K} % 7 = 0 then 'other documents' when {K} % 4 = 0 then 'complete' else 'no place' end as reason from orders))"""
+)
+def delivery_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivery terms of packages: stated whole, in part, in several documents, or not at all under each policy."""
+    o = table(spark, sf_dir, "orders").select(K)
+    packages = o.selectExpr(f"{K} as package_id", f"{K} % 17 <> 0 as all_parsed", f"{POLICY} as policy")
+    terms = o.where(f"{K} % 6 <> 0").selectExpr(f"{K} as package_id", "'term' as kind", "'c' as document", f"case when {K} % 4 = 0 then '交付地点为现场' else '按期交付' end as text")
+    dates = o.where(f"{K} % 5 <> 0").selectExpr(f"{K} as package_id", "'date' as kind", f"case when {K} % 7 = 0 then 'a' else 'c' end as document", "'5月1日' as text")
+    return checks.delivery_status(packages, terms.union(dates), "package_id")
+
+
 # ---- search, candidates, findings ---------------------------------------------------------------
 
 

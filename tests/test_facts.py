@@ -178,6 +178,13 @@ def test_delivery(spark):
         (1, "term", "d", "交付地点为现场"), (1, "date", "d", "5月1日"), (2, "term", "d", "交付"), (2, "date", "d", "5月1日"), (3, "term", "d", "交付"),
         (4, "date", "d", "5月1日"), (5, "term", "d", "地点"), (5, "date", "e", None), (6, "price", "d", "地点"),
     ]
-    out = checks.delivery_status(spark.createDataFrame(rows, "k int, kind string, document string, text string"), "k")
+    asked = [(k, k != 8, p) for k, p in enumerate(["BLOCK"] * 10) if k]
+    packages_of = spark.createDataFrame([*asked, (10, True, None), (11, True, "NOT_APPLICABLE")], "k int, all_parsed boolean, policy string")
+    out = checks.delivery_status(packages_of, spark.createDataFrame(rows, "k int, kind string, document string, text string"), "k")
     got = {r.k: (r.status, r.reason) for r in out.collect()}
-    assert got == {1: ("PASS", "complete"), 2: ("WARN", "no place"), 3: ("UNKNOWN", "no date"), 4: ("UNKNOWN", "no term"), 5: ("UNKNOWN", "other documents")}
+    assert got == {
+        1: ("PASS", "complete"), 2: ("WARN", "no place"), 3: ("BLOCK", "no date"), 4: ("BLOCK", "no term"), 5: ("UNKNOWN", "other documents"), 6: ("BLOCK", "missing"), 7: ("BLOCK", "missing"),
+        8: ("UNKNOWN", "unparsed"), 9: ("BLOCK", "missing"), 10: ("UNKNOWN", "missing"), 11: ("NOT_APPLICABLE", "missing"),
+    }
+    sure = {r.k: (r.automatic, r.sufficient) for r in out.collect()}
+    assert sure[1] == (True, True) and sure[3] == (False, False) and sure[8] == (False, False) and sure[9] == (True, True) and sure[10] == (False, True)
\ No newline at end of file

@@ -153,27 +153,31 @@ def link_stars(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.select("a", "b").mapInArrow(run, "src long, dst long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, per_task: int = 50_000) -> DataFrame:
     """(node, root) of every node of an undirected graph; root is the least node of its component.
 
     Alternating large-star and small-star steps. Neighbourhoods are only reduced to their least
-    node before a join, never gathered. Each round is written to the shared checkpoint folder.
+    node before a join, never gathered. Each round is written to the shared checkpoint folder. Steps run in a task for
+    `per_task` edges (8 at least, as many as shuffles have at most), so that a small graph leaves few files.
     """
     now = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
     last = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        tasks = max(8, -(-state["n"] // per_task))
         if (state["n"], state["h"]) == last:
-            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(now.select("v", "v").distinct())
+            now = now.coalesce(tasks)
+            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(now.select("v", "v").distinct()).coalesce(tasks)
         last = (state["n"], state["h"])
+        now = now.coalesce(tasks)
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(tasks)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
         # small star: every edge now points down; link each node's smaller neighbours to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = cut(small.where("u <> v").distinct())
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).union(low.select("u", F.col("m").alias("v")))
+        now = cut(small.where("u <> v").distinct().coalesce(tasks))
 
 
 def _classes(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:

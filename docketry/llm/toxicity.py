@@ -240,14 +240,16 @@ def fit_weights(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0,
     return beta
 
 
-def train(docs: DataFrame, labels: DataFrame, lexicon: Column, rows_per_label: int = 20_000, most_terms: int = 5_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, lexicon: Column, rows_per_label: int = 10_000, most_terms: int = 5_000) -> Model:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic); rows where `lexicon`, of doc_id, holds give the lexicon, the others the weights."""
     said = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    rows = docs.select("doc_id", text_of().alias("text")).join(said, "doc_id").withColumn("lexical", lexicon)
+    said = said.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sizes = {r["toxic"]: r["count"] for r in said.groupBy("toxic").count().collect()}
-    share = {k: min(1.0, 2 * rows_per_label / max(1, n)) for k, n in sizes.items()}
+    share = {k: min(1.0, rows_per_label / max(1, n)) for k, n in sizes.items()}
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 1).cast("double") / float(2**63)
-    sample = cut(rows.where(draw < F.when(F.col("toxic") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))).select("text", "toxic", "lexical"))
+    drawn = said.where(draw < F.when(F.col("toxic") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0)))
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(drawn), "doc_id")  # ids and labels, rows_per_label about of each
+    sample = cut(rows.select("text", "toxic", lexicon.alias("lexical")))
     entries = learn_lexicon(sample.where("lexical"), most_terms)
     shared = docs.sparkSession.sparkContext.broadcast(entries)
 

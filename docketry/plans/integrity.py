@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions.canonical import canonical_row
-from docketry.operators import audit
+from docketry.operators import audit, corpus, references
 from docketry.plans.base import query, table
 from docketry.sources import appended, packages
 from docketry.sources.shared import shared_folder
@@ -118,3 +118,49 @@ def event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type").agg(
         F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("ts").cast("string").alias("first_at"), F.count_distinct("batch").alias("n_batches"), F.max("revision").alias("revision")
     )
+
+
+#: How the entities of each kind of reference hold their ids: plainly, or in a list of parts.
+KINDS = [r.kind for r in references.REGISTRY]
+CITES = f"array_compact(array('e-' || o_orderkey || '-1', case when o_orderkey % 3 = 0 then 'gone-' || o_orderkey end, case when o_orderkey % 5 = 0 then 'e-' || (o_orderkey + {len(KINDS)}) || '-1' end))"
+
+
+@query(
+    f"""with r as (select o_orderkey as package_id, ['{"', '".join(KINDS)}'][o_orderkey % {len(KINDS)} + 1] as kind, o_orderkey from orders),
+c as (select package_id, kind, kind || '-' || o_orderkey as id, unnest(list_filter(['e-' || o_orderkey || '-1', case when o_orderkey % 3 = 0 then 'gone-' || o_orderkey end, case when o_orderkey % 5 = 0 then 'e-' || (o_orderkey + {len(KINDS)}) || '-1' end], lambda x: x is not null)) as evidence_id from r)
+select c.* from c left join lineitem on l_orderkey = package_id and 'e-' || l_orderkey || '-' || l_linenumber = evidence_id where l_orderkey is null"""
+)
+def dangling_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as packages: an entity of one of seventeen kinds in each, that cites a line, nothing that exists, or another package's line."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    tables: dict[str, DataFrame] = {}
+    for i, ref in enumerate(references.REGISTRY):
+        name, _, inner = ref.path.partition(".")
+        own = o.where(F.pmod("o_orderkey", F.lit(len(KINDS))) == i).withColumn("cites", F.expr(CITES))
+        held = F.expr(f"transform(cites, x -> named_struct('{inner}', array(x)))") if inner else F.col("cites")
+        rows = own.select(F.col("o_orderkey").alias("package_id"), F.concat(F.lit(f"{ref.kind}-"), "o_orderkey").alias(ref.id), held.alias(name))
+        tables[ref.table] = tables[ref.table].unionByName(rows, allowMissingColumns=True) if ref.table in tables else rows
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("package_id"), F.concat_ws("-", F.lit("e"), "l_orderkey", "l_linenumber").alias("evidence_id"))
+    return references.dangling_references(tables, lines, ["package_id"])
+
+
+TYPES = "case i % 7 when 0 then 'header' when 1 then 'table_cell' when 2 then 'seal' else 'paragraph' end"
+
+
+@query(
+    f"""with l as (select doc_id, x[i] as says, i, (i - 1) // 20 as page from (select doc_id, string_split(text, chr(10)) as x, unnest(range(1, len(x) + 1)) as i from documents where text is not null)),
+u as (
+  select doc_id, page, i, 0 as j, says, case when doc_id % 5 = 0 then 'paragraph' else {TYPES} end as kind from l where doc_id % 5 = 0 or doc_id % 3 <> 0 or page % 2 = 0
+  union all select doc_id, page, i, j, parts[j], 'paragraph' from (select *, string_split_regex(says, '\\r|[\\x0B\\f\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]') as parts, unnest(range(1, len(parts) + 1)) as j from l where doc_id % 5 <> 0 and doc_id % 3 = 0 and page % 2 = 1))
+select doc_id, cast(row_number() over (partition by doc_id order by page, i, j) - 1 as int) as unit, regexp_replace(says, '^[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+|[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+$', '', 'g') as says, kind
+from u where kind not in ('header', 'table_cell') and trim(says) <> ''"""
+)
+def parsed_document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as parsed blocks: some with an outline, some with pages of which only the text is known; tables and headers ignored."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text")).selectExpr("doc_id", "at + 1 as i", "floor(at / 20) as page", "text")
+    node = F.col("doc_id") % 5 == 0
+    blocks = lines.where("doc_id % 5 = 0 or doc_id % 3 <> 0 or page % 2 = 0").select("doc_id", "page", F.col("i").alias("n"), node.alias("node"), F.when(node, "paragraph").otherwise(F.expr(TYPES)).alias("block_type"), "text")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "\n")
+    pages = lines.groupBy("doc_id", "page").agg(said.alias("text"))  # twenty lines
+    return corpus.parsed_units(blocks, pages, "doc_id", {"ignore_tables": True, "ignore_header_footer": True})

@@ -13,7 +13,8 @@ Conversations stream through their task turn by turn; only one turn is held at a
 conversation leaves as several parts, cut behind a turn.
 
 Defined results: null roles and texts are empty; a null conv_id is a conversation of its own;
-turns come by number (null first), ties by role and text; repeated rows are turns of their own.
+turns come by number (null first), ties by role and text; repeated rows are turns of their own. Very long turns are
+rendered whole, a turn at a time; an empty table gives no conversations; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,6 +13,8 @@ Classes are only counted and reduced to their first member, never gathered.
 
 Defined results: lines are what \\n separates; a null text has none, an empty one has one, empty.
 Rows alike in doc_id and text are one document and get the same result. A null id sorts as -1.
+Ties between copies go by id, text hash and line. A very long text is one row, whose lines are ranked
+each on its own; an empty table gives an empty result; other columns come back in `whole`, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,10 @@ Only counts by (source, length) meet in one task for each source; a hot source o
 gathered as rows.
 
 Defined results: null and blank texts have size 0 and none of it is taken; null sources form one
-source, the last; rows are taken one by one, also repeated ones; an empty table gives no rows.
+source, the last; rows are taken one by one, also repeated ones; an empty table gives no rows. Rows of
+a source and size are drawn by a seeded hash, ties by doc_id and a hash of the row; of equal sums the
+table keeps the one that it finds first, always the same. A very long text is a size like any other; one larger than what is left
+of a budget is passed over. Other columns are ignored by mix and come back from mixed, whatever their names.
 """
 
 from __future__ import annotations

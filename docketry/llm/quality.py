@@ -5,7 +5,9 @@ the measurements. Policies are named bit masks, so that a new policy version or
 reads the ledger and never the texts again.
 
 Defined results: a null or empty text has no words and fails `few_words`; null ids and repeated
-rows are rated row by row; columns other than doc_id and text are ignored.
+rows are rated row by row; columns other than doc_id and text are ignored, whatever their names, and
+come back from keep_good. Very long texts are rated whole, within one row; no rule has ties; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ searched with the expression. A rule without mandatory trigrams searches every t
 All of it is DataFrame operations. Spans come from cutting a text at its matches and adding up
 lengths, so they are exact code point offsets.
 
-Defined results: a null text is empty; rows alike in doc_id and text get the same result; other
-columns are ignored.
+Defined results: a null text is empty; rows alike in doc_id and text get the same result; spans that begin
+alike come in the order of the rules; very long texts are searched whole; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import cut, text_of
 
-#: Entries of a container, at most, before it bursts; of a task's trie before it spills; words numbered at once.
+#: Entries of a container, at most, before it bursts; of a task's tries before they spill; words that a task numbers at once.
 BURST, ENTRIES, WORDS = 4096, 1_000_000, 1 << 20
 #: Bytes of text that are split into words at once.
 BLOCK = 1 << 22
@@ -133,6 +133,10 @@ class Words:
         self.lang, self.numbers, self.words = lang, {_END: 0}, [_END]
         self.hashes = np.zeros(1, dtype=np.uint64)
 
+    def fresh(self, tokens: list[bytes]) -> int:
+        """How many of the words have no number yet."""
+        return len(set(tokens).difference(self.numbers))
+
     def number(self, tokens: list[bytes]) -> np.ndarray:
         known = self.numbers
         for w in set(tokens).difference(known):
@@ -207,9 +211,9 @@ def _hashed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Words] = {}
         for lang, tokens in _blocks(batches):
+            if sum(len(w.words) for w in known.values()) > WORDS:  # begin anew, so that memory stays bounded
+                known.clear()
             held = known.setdefault(lang, Words(lang))
-            if len(held.words) > WORDS:
-                held = known[lang] = Words(lang)
             ids = held.number(tokens)
             yield pa.RecordBatch.from_arrays([pa.array([held.hashes[ids].astype(np.uint32).tobytes()])], ["said"])
 
@@ -293,7 +297,7 @@ def _filter(hashed: DataFrame, words: int, before: np.ndarray | None, least: int
 def _runs(docs: DataFrame, filters: list[np.ndarray]) -> DataFrame:
     """lang, bucket, phrases, counts: sorted runs spilled of the sequences that pass the filter of their length; the phrase '' has all words of a language."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(filters)
+    shared, longest = spark.sparkContext.broadcast(filters), len(filters)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def spill(held: Words, trie: Trie, words: int, firsts: list[int]) -> Iterator[pa.RecordBatch]:
@@ -307,18 +311,27 @@ def _runs(docs: DataFrame, filters: list[np.ndarray]) -> DataFrame:
                 run[1].append(n)
             yield _batch(held.lang, runs)
 
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], int]]:
+        """Blocks in windows that leave room for the numbers of their words; sequences that begin in the first `own` places are a window's own."""
+        step = WORDS // 2 - longest
+        for lang, tokens in _blocks(batches):
+            for at in range(0, len(tokens), step):
+                yield lang, tokens[at : at + step + longest - 1], min(step, len(tokens) - at)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[Words, list[Trie]]] = {}
         total: dict[str, int] = defaultdict(int)
-        for lang, tokens in _blocks(batches):
+        for lang, tokens, own in windows(batches):
             held, tries = known.setdefault(lang, (Words(lang), [Trie() for _ in shared.value]))
-            if len(held.words) + len(tokens) >= WORDS:  # numbers run out: spill all and begin anew
-                for k, trie in enumerate(tries):
-                    yield from spill(held, trie, k + 1, list(trie.roots))
+            if sum(len(w.words) for w, _ in known.values()) + held.fresh(tokens) >= WORDS:  # numbers run out: spill all and begin anew
+                for w, ts in known.values():
+                    for k, trie in enumerate(ts):
+                        yield from spill(w, trie, k + 1, list(trie.roots))
+                known.clear()
                 known[lang] = held, tries = Words(lang), [Trie() for _ in shared.value]
             ids = held.number(tokens)
-            total[lang] += int(np.count_nonzero(ids))
-            hashes, inside = held.hashes[ids], np.ones(len(ids), dtype=bool)
+            total[lang] += int(np.count_nonzero(ids[:own]))
+            hashes, inside = held.hashes[ids], np.arange(len(ids)) < own
             for words, (bits, trie) in enumerate(zip(shared.value, tries, strict=True), 1):
                 n = max(0, len(ids) - words + 1)
                 inside = inside[:n] & (ids[words - 1 : words - 1 + n] != 0)
@@ -333,10 +346,11 @@ def _runs(docs: DataFrame, filters: list[np.ndarray]) -> DataFrame:
                 for w, ts in known.values():
                     for k, trie in enumerate(ts):
                         yield from spill(w, trie, k + 1, trie.largest())
-        for lang, (held, tries) in known.items():
+        for held, tries in known.values():
             for k, trie in enumerate(tries):
                 yield from spill(held, trie, k + 1, list(trie.roots))
-            yield _batch(lang, {0: ([b""], [total[lang]])})
+        for lang, n in total.items():
+            yield _batch(lang, {0: ([b""], [n])})
 
     return _said(docs).mapInArrow(run, "lang string, bucket int, phrases array<string>, counts array<long>")
 

@@ -136,7 +136,7 @@ RANKED = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 @pytest.mark.parametrize("small", [False, True])
 def test_collocations(spark, monkeypatch, small):
     if small:  # tries burst and spill, numbers run out, texts come in blocks, marks coincide
-        for name, value in (("BURST", 3), ("ENTRIES", 50), ("WORDS", 900), ("BLOCK", 300), ("FILTER_BITS", 1 << 10), ("HELD", 20)):
+        for name, value in (("BURST", 3), ("ENTRIES", 50), ("WORDS", 100), ("BLOCK", 300), ("FILTER_BITS", 1 << 10), ("HELD", 20)):
             monkeypatch.setattr(collocations, name, value)
     rng = random.Random(4)
     texts = [(rng.choice(["en", "und", None]), " ".join(rng.choice(["in", "view", "of", "the Fact", "that,", "É\t", "x\x85y\x0bz", "a b c d."]) for _ in range(rng.randrange(60)))) for _ in range(120)]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketry.operators import checks, gates
+from docketry.operators import applicability, checks, compare, gates
 from docketry.plans.base import query, table
 from docketry.sources import packages
 
@@ -159,3 +159,42 @@ select l_orderkey, '# order ' || l_orderkey || ' (' || count(*) || ')' || chr(10
 def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.col("l_linenumber").cast("string"), F.lit(". "), F.col("status"))
     return packages.report_text(_findings(spark, sf_dir), "l_orderkey", ["l_linenumber", "status"], line, "order")
+
+
+@query(
+    """select o_orderkey, 'no rule in scope' as issue from orders where o_orderkey % 5 in (3, 4)"""
+)
+def scopes_without_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as contexts whose scope names a brand (a rule's id), a type of part (its category), nothing, or what no rule has."""
+    p = table(spark, sf_dir, "part")
+    rules = p.select(F.col("p_brand").alias("rule_id"), F.col("p_type").alias("category")).distinct()
+    first = p.agg(F.min("p_brand").alias("brand"), F.max("p_type").alias("type"))  # one row
+    k = F.col("o_orderkey") % 5
+    scope = F.when(k == 0, F.array("brand", F.lit("other"))).when(k == 1, F.array("type")).when(k == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("other"), F.concat("brand", F.lit("x"))))
+    contexts = table(spark, sf_dir, "orders").select("o_orderkey").join(F.broadcast(first)).select("o_orderkey", scope.alias("review_scope"))
+    return applicability.scope_issues(rules, contexts, "o_orderkey")
+
+
+@query(
+    """with c as (select l_orderkey as pair_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as pos, ['added', 'deleted', 'modified'][l_linenumber % 3 + 1] as kind,
+  case when l_linenumber % 3 > 0 then 'p' || l_partkey end as was, case when l_linenumber % 3 <> 1 then 's' || l_suppkey end as now from lineitem where l_quantity > 25),
+p as (select o_orderkey as pair_id, o_orderkey % 101 as s, (select count(*) from c where pair_id = o_orderkey) as n, (select count(*) from c where pair_id = o_orderkey and kind = 'added') as a,
+  (select count(*) from c where pair_id = o_orderkey and kind = 'deleted') as d, (select count(*) from c where pair_id = o_orderkey and kind = 'modified') as m from orders),
+l as (
+  select pair_id, 0 as n, '基准文档：base-' || pair_id as line from p union all select pair_id, 1, '比对文档：other-' || pair_id from p
+  union all select pair_id, 2, '相似度：' || case when s >= 95 then '高度相似' when s >= 80 then '较为相似' when s >= 50 then '存在明显差异' else '差异较大' end || '（' || s || '%）' from p
+  union all select pair_id, 3, '新增 ' || a || ' 处 / 删除 ' || d || ' 处 / 修改 ' || m || ' 处' from p union all select pair_id, 4, '' from p union all select pair_id, 5, '未发现差异。' from p where n = 0
+  union all select pair_id, 5 + 3 * pos, (pos + 1) || '. [' || case kind when 'added' then '新增' when 'deleted' then '删除' else '修改' end || ']' from c
+  union all select pair_id, 6 + 3 * pos, '   基准：' || was from c where was is not null union all select pair_id, 7 + 3 * pos, '   比对：' || now from c where now is not null)
+select pair_id, cast(n as bigint) as n, line from l"""
+)
+def comparison_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of compared pairs, line by line: names, band of similarity, counts, numbered changes. Orders are pairs, lines are changes."""
+    pairs = table(spark, sf_dir, "orders").selectExpr("o_orderkey as pair_id", "'base-' || o_orderkey as base", "'other-' || o_orderkey as other", "(o_orderkey % 101) / 100.0 as similarity")
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 25").withColumn("pos", F.row_number().over(own) - 1)
+    changes = lines.selectExpr(
+        "l_orderkey as pair_id", "pos", "element_at(array('added', 'deleted', 'modified'), cast(l_linenumber % 3 + 1 as int)) as kind",
+        "case when l_linenumber % 3 > 0 then 'p' || l_partkey end as before", "case when l_linenumber % 3 <> 1 then 's' || l_suppkey end as after",
+    )
+    return compare.report_lines(pairs, changes)

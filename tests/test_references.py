@@ -93,3 +93,24 @@ def test_hybrid(spark):
     first = [g for g in got if g[0] == 1]
     assert [g[2] for g in first][0] == "c009" and "c003" not in {g[2] for g in first} and len(first) == 3 and {g[5] for g in first} == {"hybrid"}
     assert [(g[2], g[4], g[5]) for g in got if g[0] == 2] == [("c001", True, "lexical")]
+
+
+def test_report_of_a_comparison(spark):
+    from docketry.operators import compare
+
+    pairs = spark.createDataFrame([(1, "a.docx", "b.docx", 0.945), (2, "c", "d", 1.0), (3, "e", "f", 0.494)], "pair_id long, base string, other string, similarity double")
+    changes = spark.createDataFrame([(1, 1, "modified", "x", "y"), (1, 0, "deleted", "z", None), (3, 0, "added", "", "w"), (9, 0, "added", None, "no pair")], "pair_id long, pos int, kind string, before string, after string")
+    said = {}
+    for r in compare.report_lines(pairs, changes).orderBy("pair_id", "n").collect():
+        said.setdefault(r.pair_id, []).append(r.line)
+    assert "\n".join(said[1]) == "基准文档：a.docx\n比对文档：b.docx\n相似度：较为相似（94%）\n新增 0 处 / 删除 1 处 / 修改 1 处\n\n1. [删除]\n   基准：z\n2. [修改]\n   基准：x\n   比对：y"
+    assert said[2][2:] == ["相似度：高度相似（100%）", "新增 0 处 / 删除 0 处 / 修改 0 处", "", "未发现差异。"]
+    assert said[3][2] == "相似度：差异较大（49%）" and said[3][5:] == ["1. [新增]", "   比对：w"] and 9 not in said
+
+
+def test_scope_that_meets_no_rule(spark):
+    from docketry.operators import applicability
+
+    rules = spark.createDataFrame([("r1", "finance"), ("r2", None)], "rule_id string, category string")
+    contexts = spark.createDataFrame([(1, ["r1", "x"]), (2, ["finance"]), (3, []), (4, None), (5, ["x"]), (6, ["r2"])], "k int, review_scope array<string>")
+    assert [tuple(r) for r in applicability.scope_issues(rules, contexts, "k").collect()] == [(5, "no rule in scope")]

@@ -19,20 +19,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import positions, text_of
+from docketry.llm.common import let, positions, text_of
 
 
-def _draws(key: Column, weights: Sequence[float]) -> list[Column]:
-    draws = []
-    for shard, weight in enumerate(weights):
-        u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11).cast("double") + 0.5) / float(2**53)
-        draws.append(F.struct((-F.ln(u) / float(weight)).alias("cost"), F.lit(shard).alias("shard")))
-    return draws
+def _draw(key: Column, shard: Column, weight: Column) -> Column:
+    u = (F.shiftrightunsigned(F.xxhash64(key, shard), 11).cast("double") + 0.5) / float(2**53)
+    return F.struct((-F.ln(u) / weight).alias("cost"), shard.alias("shard"))
+
+
+def _best(key: Column, weights: Sequence[float]) -> Column:
+    """cost and shard of the least draw of a string key.
+
+    One expression over the weights as an array: written out for each shard, the plans take much of the driver's memory.
+    """
+    given = F.array(*[F.lit(float(w)) for w in weights])
+    return let(key, lambda k: F.array_min(F.transform(given, lambda weight, shard: _draw(k, shard, weight))))
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """The shard (0 to len(weights) - 1) of a string key."""
-    return F.array_min(F.array(*_draws(key, weights)))["shard"]
+    return _best(key, weights)["shard"]
 
 
 RESULTS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -56,14 +62,13 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], overhead: int = 16,
     Counting the shards reads the key alone; rows move once, to their place in their shard.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    draws = _draws(key, [*weights, 1.0])
     drawn = docs.select(
         F.struct(*[F.col(c).alias(new) for c, new in zip(carry, free_names(carry), strict=True)]).alias("carried"),
         F.col("doc_id").alias("id"),
         (F.octet_length(text_of()) + overhead).cast("long").alias("size"),
         F.crc32(text_of().cast("binary")).alias("text_crc32"),
-        F.array_min(F.array(*draws[:-1])).alias("best"),
-        draws[-1].alias("further"),
+        _best(key, weights).alias("best"),
+        _draw(key, F.lit(len(weights)), F.lit(1.0)).alias("further"),
         F.xxhash64(key, F.lit("slot")).alias("ticket"),
     )
     grown = F.array_min(F.array("best", "further"))["shard"].alias("grown_shard")

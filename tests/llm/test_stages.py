@@ -258,6 +258,13 @@ def test_shard_weights(spark):
     assert 2.7 < n[1] / n[0] < 3.3
 
 
+def test_more_shards_leave_the_plan_small(spark):
+    """The draws are one expression, however many shards there are."""
+    docs = edge_docs(spark)
+    plans = [assign_shards(docs, [1.0] * n, carry=docs.columns)._jdf.queryExecution().optimizedPlan().toString() for n in (2, 40)]
+    assert plans[0].count("xxhash64") == plans[1].count("xxhash64")
+
+
 def test_slots_of_split_groups(spark):
     from docketry.llm.common import positions
 

@@ -1,7 +1,9 @@
-"""Sizes for which Spark's planner takes tables of contract packages: one taken for too small is broadcast whole."""
+"""Work on contract packages at size: tables that Spark's planner takes for too small are broadcast whole, expressions used twice run twice."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from docketry.functions.text import MATCH, matches, money
 from docketry.plans import contracts
 from docketry.plans.registry import QUERIES
 from docketry.sources.shared import cut
@@ -29,3 +31,14 @@ def test_blocks_are_not_broadcast(spark, name):
         for k in held:
             spark.conf.unset(k)
     assert "BroadcastHashJoin" not in plan
+
+
+def test_matches_cut_few_texts(spark):
+    rows = spark.createDataFrame([("a1b22",), (f"1{MATCH}2",), ("1",), ("none",), ("",), (None,)], "t string")
+    found = [None if r.m is None else [(m.start, m.end, m.says) for m in r.m] for r in rows.select(matches(F.col("t"), "[0-9]+").alias("m")).collect()]
+    assert found == [[(1, 2, "1"), (3, 5, "22")], [(0, 1, "1"), (2, 3, "2")], [(0, 1, "1")], [], [], None]
+    assert str(matches(F.col("t"), "[0-9]+")).startswith("Column<'CASE WHEN")  # without a match nothing is cut
+
+
+def test_money_reads_a_text_once():
+    assert str(money(F.col("t"))).count("人民币") == 1

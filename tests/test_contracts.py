@@ -1,9 +1,13 @@
 """Work on contract packages at size: tables that Spark's planner takes for too small are broadcast whole, expressions used twice run twice."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions.text import MATCH, matches, money
+from docketry.operators import elements
 from docketry.plans import contracts
 from docketry.plans.registry import QUERIES
 from docketry.sources.shared import cut
@@ -42,3 +46,17 @@ def test_matches_cut_few_texts(spark):
 
 def test_money_reads_a_text_once():
     assert str(money(F.col("t"))).count("人民币") == 1
+
+
+def test_hints_miss_no_match():
+    draw = random.Random(7)
+    words = sorted({w for f in elements.HINTS for group in (*elements.HINTS[f], elements.ALIASES[f]) for w in group})
+    words += ["方", "日", "2024年5月1日", "于", "前", "13%", "100元", "A123456789012345X", "提交某地仲裁委员会仲裁", "向某地人民法院起诉", "人民币", " ", "甲 方", "增值税专用发票"]
+    seen = set()
+    for _ in range(30_000):
+        text = "".join(draw.choices(words, k=draw.randint(1, 6)))
+        for f in elements.ALIASES:
+            if any(re.search(p, text) for p in elements.field_patterns(f)):
+                seen.add(f)
+                assert all(any(w in text for w in group) for group in elements.HINTS[f]), (f, text)
+    assert seen == set(elements.ALIASES)
